@@ -32,10 +32,10 @@ from pyspark.sql import types as T
 from recordloom.llm.common import pieces, texts
 
 #: Stretches whose ids a worker keeps; the table is emptied when it is full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: Longer stretches are encoded each time and not kept.
 CACHE_CHARS = 40
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Texts of these characters are split here; others by the library's own engine,
 #: so that two Unicode versions never meet.
 COMMON = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
@@ -148,24 +148,36 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, offsets: bo
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded) of packed ids; ``decoded`` holds bytes."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded binary"
+    """(doc_id, decoded) of packed ids; ``decoded`` holds the texts' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for batch in pieces(batches, "ids", BATCH_BYTES):
-            ids = [x or b"" for x in batch.column("ids").to_pylist()]
+            decoded = [bpe.decode(x or b"") for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(decoded, pa.binary())], ["doc_id", "decoded"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass, with one codec a worker."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(ranks_path, pattern)
+        for batch in pieces(batches, "text", BATCH_BYTES):
+            ids = bpe.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array(map(decimal_digest, ids), pa.string()),
-                    pa.array(map(bpe.decode, ids), pa.binary()),
+                    pa.array((hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids), pa.string()),
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded"],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return texts(docs).mapInArrow(run, schema)
 
 
 def unpack(ids: Iterable[bytes | None]) -> list[list[int]]:

@@ -58,14 +58,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``limit`` bytes in each, one row at least."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that ``column`` holds about ``limit`` bytes in each and at most ``rows`` rows, one row at least."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         size = batch.column(column).nbytes
-        step = max(1, n // max(1, math.ceil(size / limit)))
+        step = min(rows, max(1, n // max(1, math.ceil(size / limit))))
         for at in range(0, n, step):
             yield batch.slice(at, step)
 

@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, token_files
+from recordloom.llm import bpe, fingerprints, token_files
 from recordloom.llm.common import new_folder, table
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_with_next(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
-    decoded = bpe.decode_documents(encoded, ranks, pattern)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_fingerprints": op5_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_token_files": op9_token_files,
 }

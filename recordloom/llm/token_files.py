@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import partitions, pieces, texts
 
 MAGIC, TAIL, VERSION = b"TOKF", b"FKOT", 1
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 40
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 DOCS_PER_FILE = 8192
 LEVEL = 3
 
