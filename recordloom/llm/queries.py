@@ -6,11 +6,25 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, fingerprints, token_files
+from recordloom.llm import bpe, decontaminate, fingerprints, oracles, token_files
 from recordloom.llm.common import new_folder, table
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit, items = decontaminate.n_hit(F.col("hits")), decontaminate.items_of(F.col("hits"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort(items.cast("array<string>"))), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_with_next(table(spark, sf_dir, "documents"))
 
@@ -27,8 +41,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontaminate": op3_decontaminate,
     "op5_fingerprints": op5_fingerprints,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_token_files": op9_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontaminate": oracles.OP3}
