@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, fingerprints, oracles, token_files
+from recordloom.llm import bpe, decontaminate, fingerprints, oracles, simhash, token_files
 from recordloom.llm.common import new_folder, table
 
 
@@ -29,6 +29,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_with_next(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -43,6 +47,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_fingerprints": op5_fingerprints,
+    "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_token_files": op9_token_files,
 }
