@@ -21,3 +21,34 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
+
+
+def _repeats(units: str, same: str, width: int, short: str, separator: str) -> str:
+    """First occurrences stay, whatever later runs of units cover goes."""
+    run = "array_to_string(s[i : i + n - 1], chr(10))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {units} AS u FROM documents),
+e AS (SELECT doc_id, text, u, {same} AS s FROM d),
+w AS (
+  SELECT * FROM (
+    SELECT doc_id, text, i, n, {run} AS r
+    FROM (SELECT doc_id, text, s, n, unnest(range(1, len(s) - n + 2)) AS i FROM e, (SELECT unnest(range(1, {width} + 1)) AS n) k WHERE len(s) >= n) t) t
+  WHERE (n = {width} AND length(trim(r, ' ' || chr(9) || chr(10) || chr(13))) > 0) OR (n < {width} AND {short})),
+o AS (SELECT *, row_number() OVER (PARTITION BY n, r ORDER BY doc_id, i) AS k FROM w),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM o WHERE k > 1),
+p AS (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS j FROM d),
+kept AS (SELECT p.doc_id, string_agg(u[j], {separator} ORDER BY j) AS t FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND c.j = p.j) GROUP BY p.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(u) AS BIGINT) AS n_units, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id
+"""
+
+
+OP10 = _repeats("string_split(coalesce(text, ''), chr(10))", "u", 3, "false", "chr(10)")
+OP8 = _repeats(
+    r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!? \t\r\n]*|[.!?\n]+[ \t\r\n]*')",
+    "list_transform(u, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)))",
+    3,
+    "length(r) - length(translate(r, ' ' || chr(10), '')) >= 39",
+    "''",
+)

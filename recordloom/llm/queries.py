@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, fingerprints, oracles, simhash, token_files
+from recordloom.llm import bpe, decontaminate, fingerprints, line_dedup, oracles, sentence_dedup, simhash, token_files
 from recordloom.llm.common import new_folder, table
 
 
@@ -44,11 +44,25 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def _kept(done: DataFrame) -> DataFrame:
+    return done.select("doc_id", "n_units", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op8_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(sentence_dedup.dedup_sentences(table(spark, sf_dir, "documents")))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(line_dedup.dedup_lines(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
     "op5_fingerprints": op5_fingerprints,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_sentence_dedup": op8_sentence_dedup,
     "op9_token_files": op9_token_files,
+    "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op3_decontaminate": oracles.OP3}
+ORACLES: dict[str, str] = {"op3_decontaminate": oracles.OP3, "op8_sentence_dedup": oracles.OP8, "op10_line_dedup": oracles.OP10}
