@@ -91,7 +91,7 @@ def _planes(values: np.ndarray) -> np.ndarray:
     padded = np.zeros(n, np.uint64)
     padded[: len(values)] = values
     bits = np.unpackbits(padded.view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(planes: np.ndarray, query: int, lanes: np.ndarray, order: list[int]) -> np.ndarray:
