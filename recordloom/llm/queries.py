@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, fingerprints, line_dedup, oracles, sentence_dedup, simhash, token_files
+from recordloom.llm import bpe, decontaminate, fingerprints, line_dedup, oracles, quality, sentence_dedup, simhash, token_files
 from recordloom.llm.common import new_folder, table
 
 
@@ -25,6 +25,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_with_next(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontaminate": op3_decontaminate,
+    "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_simhash": op6_simhash,
     "op7_byte_bpe": op7_byte_bpe,
