@@ -43,24 +43,27 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the word hashes of all texts in order; text i has first[i]:first[i + 1]."""
-    data = b" ".join(texts).lower()
-    buf = np.frombuffer(data, np.uint8)
-    ends_of = np.cumsum([len(t) + 1 for t in texts])
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, first): all texts' bytes with A-Z lower-cased, and where words start and end.
+
+    Text i has the words first[i]:first[i + 1].
+    """
+    buf = np.frombuffer(b" ".join(texts).lower(), np.uint8)
     inside = np.zeros(len(buf) + 2, np.int8)
     inside[1:-1] = ~_SPACE[buf]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = 1 << max(20, int(len(buf)).bit_length())
-    power, inverse = _powers(size)
+    texts_end = np.cumsum([len(t) + 1 for t in texts])
+    return buf, starts, ends, np.concatenate([[0], np.searchsorted(starts, texts_end - 1, "left")]).astype(np.int64)
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): the word hashes of all texts in order."""
+    buf, starts, ends, first = word_spans(texts)
+    power, inverse = _powers(1 << max(20, int(len(buf)).bit_length()))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_byte_values()[buf] * power[: len(buf)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    first = np.concatenate([[0], np.searchsorted(starts, ends_of - 1, "left")])
-    return hashes, first
+    return mix((sums[ends] - sums[starts]) * inverse[starts]), first
 
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -242,7 +242,7 @@ def classes(docs: DataFrame, file_limit: int = FILE_LIMIT) -> DataFrame:
     of = least.join(joined, least.fp == joined.node).select("fp", "least", "root")
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(roots, "root").select("fp", "component_id")
-    of_each = least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    of_each = materialize(least.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "simhash-classes")
     return printed.join(of_each, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
