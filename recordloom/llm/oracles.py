@@ -52,3 +52,47 @@ OP8 = _repeats(
     "length(r) - length(translate(r, ' ' || chr(10), '')) >= 39",
     "''",
 )
+
+
+def _licenses() -> str:
+    from recordloom.llm.licenses import TEMPLATES, TERM, THRESHOLD
+
+    rows = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
+    words = rf"regexp_extract_all(lower({{}}), '{TERM}')"
+    return f"""
+WITH templates(license, text) AS (VALUES {rows}),
+tt AS (SELECT license, w, count(*) AS f FROM (SELECT license, unnest({words.format("text")}) AS w FROM templates) t GROUP BY ALL),
+idf AS (SELECT w, ln((1.0 + (SELECT count(*) FROM templates)) / (1 + count(DISTINCT license))) + 1 AS i FROM tt GROUP BY w),
+unseen AS (SELECT ln(1.0 + count(*)) + 1 AS i FROM templates),
+tv AS (SELECT license, w, f * i AS v FROM tt JOIN idf USING (w)),
+tl AS (SELECT license, sqrt(sum(v * v)) AS len FROM tv GROUP BY license),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || (doc_id // 4096) AS d2, '/' || (doc_id // 256) AS d3, '/' || (doc_id // 16) AS d4
+  FROM documents),
+f AS (
+  SELECT doc_id, text, doc_id % 16 = 0 AS is_license_file,
+         CASE WHEN doc_id % 4096 = 0 THEN d2 WHEN doc_id % 256 = 0 THEN d2 || d3 ELSE d2 || d3 || d4 END AS dir FROM d),
+units AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS u, unnest(range(len(string_split(text, chr(10))))) AS k FROM f
+  UNION ALL SELECT doc_id, text, -1 FROM f WHERE is_license_file),
+ut AS (SELECT doc_id, k, w, count(*) AS n FROM (SELECT doc_id, k, unnest({words.format("u")}) AS w FROM units) t GROUP BY ALL),
+uv AS (SELECT doc_id, k, w, n * coalesce(i, (SELECT i FROM unseen)) AS v FROM ut LEFT JOIN idf USING (w)),
+ul AS (SELECT doc_id, k, sqrt(sum(v * v)) AS len FROM uv GROUP BY ALL),
+cosine AS (
+  SELECT doc_id, k, license, round(sum(uv.v * tv.v) / (any_value(ul.len) * any_value(tl.len)), 6) AS similarity
+  FROM uv JOIN tv USING (w) JOIN ul USING (doc_id, k) JOIN tl USING (license) GROUP BY doc_id, k, license),
+best AS (
+  SELECT doc_id, license AS own_license, similarity
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) AS r FROM cosine WHERE similarity >= {THRESHOLD}) t WHERE r = 1),
+g AS (SELECT f.*, own_license, similarity FROM f LEFT JOIN best USING (doc_id)),
+grants AS (SELECT dir AS up, own_license AS lic FROM g WHERE is_license_file AND own_license IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own_license) = 1),
+climb AS (SELECT DISTINCT dir, n, array_to_string(string_split(dir, '/')[1:n], '/') AS up FROM (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS n FROM g) t),
+near AS (SELECT dir, up, lic FROM climb JOIN grants USING (up) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC) = 1)
+SELECT doc_id, is_license_file, own_license, similarity, coalesce(own_license, lic) AS license,
+       CASE WHEN own_license IS NULL THEN up END AS inherited_from
+FROM g LEFT JOIN near USING (dir)
+"""
+
+
+OP1 = _licenses()

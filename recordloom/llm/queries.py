@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, fingerprints, line_dedup, oracles, quality, sentence_dedup, simhash, token_files
+from recordloom.llm import bpe, decontaminate, fingerprints, licenses, line_dedup, oracles, quality, sentence_dedup, simhash, token_files
 from recordloom.llm.common import new_folder, table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", "text", licenses.document_path(F.col("doc_id"), F.col("source")).alias("path"))
+    return licenses.scan(files).drop("text", "path")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit, items = decontaminate.n_hit(F.col("hits")), decontaminate.items_of(F.col("hits"))
@@ -61,6 +67,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
@@ -70,4 +77,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op3_decontaminate": oracles.OP3, "op8_sentence_dedup": oracles.OP8, "op10_line_dedup": oracles.OP10}
+ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op3_decontaminate": oracles.OP3, "op8_sentence_dedup": oracles.OP8, "op10_line_dedup": oracles.OP10}
