@@ -29,12 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import pieces, texts
+from recordloom.llm.common import Known, pieces, texts
 
-#: Stretches whose ids a worker keeps; the table is emptied when it is full.
-CACHE_ENTRIES = 250_000
-#: Longer stretches are encoded each time and not kept.
-CACHE_CHARS = 40
 BATCH_BYTES = 2 << 20
 #: Texts of these characters are split here; others by the library's own engine,
 #: so that two Unicode versions never meet.
@@ -77,7 +73,7 @@ class ByteBpe:
         for text, rank in self.tokenizer.get_vocab().items():
             self.bytes_of[rank] = bytes(map(back.__getitem__, text))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Known()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -86,20 +82,12 @@ class ByteBpe:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         common = [COMMON.fullmatch(t) is not None for t in texts]
         cut = [self.split(t) if ok else [] for t, ok in zip(texts, common)]
-        found = set().union(*cut) if cut else set()
         known = self.known
-        new = [p for p in found if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                keep = {p: known[p] for p in found if p in known}
-                known.clear()
-                known.update(keep)
-            known.update(zip(new, self._whole(new)))
+        new = known.missing(cut)
+        known.update(zip(new, self._whole(new)))
         get = known.__getitem__
         out = [b"".join(map(get, p)) for p in cut]
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del known[p]
+        known.forget_long(new)
         odd = [i for i, ok in enumerate(common) if not ok]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]) if odd else []):
             out[i] = ids
@@ -159,23 +147,24 @@ def decode_documents(encoded: DataFrame, ranks_path: str, pattern: str) -> DataF
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass, with one codec a worker."""
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded and decoded in one pass, with one codec a worker.
+
+    ``with_ids`` adds the packed ids.
+    """
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(ranks_path, pattern)
         for batch in pieces(batches, "text", BATCH_BYTES):
             ids = bpe.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array(map(decimal_digest, ids), pa.string()),
-                    pa.array((hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids), pa.string()),
-                ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+                "ids_sha256": pa.array(map(decimal_digest, ids), pa.string()),
+                "decoded_sha256": pa.array((hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids), pa.string()),
+            }
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
     return texts(docs).mapInArrow(run, schema)
 

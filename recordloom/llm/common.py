@@ -5,13 +5,37 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Strings whose ids a worker keeps, beside those of the batch at hand; longer ones are not kept.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
+
+
+class Known(dict[str, bytes]):
+    """The ids of strings met so far; the older half is forgotten when there are too many."""
+
+    def missing(self, lists: Iterable[list[str]]) -> list[str]:
+        """The strings of ``lists`` that aren't known, once each."""
+        if len(self) > CACHE_ENTRIES:
+            for w in list(islice(self, len(self) // 2)):
+                del self[w]
+        found: set[str] = set()
+        for own in lists:
+            found.update(filterfalse(self.__contains__, own))
+        return list(found)
+
+    def forget_long(self, new: list[str]) -> None:
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del self[w]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as Spark reads it, from any store."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

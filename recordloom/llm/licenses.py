@@ -112,41 +112,42 @@ def own_licenses(files: DataFrame, templates: Templates) -> DataFrame:
     units = F.when(F.col("is_license_file"), F.concat(units, F.array(text))).otherwise(units)
     hopeful = F.when(text.rlike(pattern), F.filter(units, lambda u: u.rlike(pattern))).otherwise(F.array().cast("array<string>"))
     scored = files.withColumn("is_license_file", F.coalesce(name.isin(*LICENSE_FILES), F.lit(False)))
-    scored = scored.withColumn("_units", F.transform(hopeful, lambda u: F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0))))
-    scored = scored.withColumn("_found", F.filter(F.transform("_units", lambda u: _matches(u, templates)), lambda m: m["similarity"] >= templates.threshold))
+    scored = scored.withColumn("__rl_units", F.transform(hopeful, lambda u: F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0))))
+    scored = scored.withColumn("__rl_found", F.filter(F.transform("__rl_units", lambda u: _matches(u, templates)), lambda m: m["similarity"] >= templates.threshold))
     # the largest similarity, then the first licence
-    top = F.array_max(F.transform("_found", lambda m: m["similarity"]))
-    first = F.array_min(F.transform(F.filter("_found", lambda m: m["similarity"] == top), lambda m: m["license"]))
-    return scored.withColumns({"own_license": first, "similarity": top}).drop("_units", "_found")
+    top = F.array_max(F.transform("__rl_found", lambda m: m["similarity"]))
+    first = F.array_min(F.transform(F.filter("__rl_found", lambda m: m["similarity"] == top), lambda m: m["license"]))
+    return scored.withColumns({"own_license": first, "similarity": top}).drop("__rl_units", "__rl_found")
 
 
 def scan(files: DataFrame, templates: Templates | None = None) -> DataFrame:
     """``files`` (path, text, ...) with own_license, similarity, is_license_file, license and inherited_from added."""
+    files = files.drop("own_license", "similarity", "is_license_file", "license", "inherited_from")
     own = own_licenses(files, templates or Templates(TEMPLATES))
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", ""))
-    own = own.withColumn("_dir", directory)
+    own = own.withColumn("__rl_dir", directory)
     grants = (
-        own.where(F.col("is_license_file") & F.col("own_license").isNotNull() & F.col("_dir").isNotNull())
-        .groupBy(F.col("_dir").alias("_grant"))
+        own.where(F.col("is_license_file") & F.col("own_license").isNotNull() & F.col("__rl_dir").isNotNull())
+        .groupBy(F.col("__rl_dir").alias("__rl_grant"))
         .agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("own_license").alias("l"))).alias("best"))
-        .select("_grant", F.col("best.l").alias("_license"))
+        .select("__rl_grant", F.col("best.l").alias("__rl_license"))
     )
-    parts = F.split("_dir", "/")
+    parts = F.split("__rl_dir", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path")))
-    tree = own.select("_dir").where(F.col("_dir").isNotNull()).distinct()
-    climbed = tree.select(F.col("_dir").alias("_of"), F.explode(above).alias("up")).select("_of", F.col("up.depth").alias("depth"), F.col("up.path").alias("_grant"))
+    tree = own.select("__rl_dir").where(F.col("__rl_dir").isNotNull()).distinct()
+    climbed = tree.select(F.col("__rl_dir").alias("__rl_of"), F.explode(above).alias("up")).select("__rl_of", F.col("up.depth").alias("depth"), F.col("up.path").alias("__rl_grant"))
     nearest = (
-        climbed.join(grants, "_grant")
-        .groupBy("_of")
-        .agg(F.max(F.struct("depth", "_grant", "_license")).alias("near"))
-        .select("_of", F.col("near._grant").alias("_from"), F.col("near._license").alias("_inherited"))
+        climbed.join(grants, "__rl_grant")
+        .groupBy("__rl_of")
+        .agg(F.max(F.struct("depth", "__rl_grant", "__rl_license")).alias("near"))
+        .select("__rl_of", F.col("near.__rl_grant").alias("__rl_from"), F.col("near.__rl_license").alias("__rl_inherited"))
     )
-    joined = own.join(nearest, own["_dir"] == nearest["_of"], "left")
+    joined = own.join(nearest, own["__rl_dir"] == nearest["__rl_of"], "left")
     names = [*files.columns, "is_license_file", "own_license", "similarity"]
     return joined.select(
         *[own[c] for c in names],
-        F.coalesce("own_license", "_inherited").alias("license"),
-        F.when(F.col("own_license").isNull(), F.col("_from")).alias("inherited_from"),
+        F.coalesce("own_license", "__rl_inherited").alias("license"),
+        F.when(F.col("own_license").isNull(), F.col("__rl_from")).alias("inherited_from"),
     )
 
 

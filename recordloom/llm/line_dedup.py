@@ -10,7 +10,7 @@ Defined cases: a null text is empty; a text of fewer than three lines has no
 window and stays; windows of blank lines only are layout and don't count; rows of
 equal doc_id and text are one document, so a repeated row neither covers nor
 spares the other; a null doc_id comes before all others; further columns pass
-through ``dedup_lines`` untouched, whatever their names.
+through untouched (``dedup_lines`` replaces those named like its own results).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.repeats import repeated_units, with_units, without_covered
+from recordloom.llm.repeats import KEPT, N_REMOVED, N_UNITS, repeated_units, with_results, with_units, without_covered
 
 WIDTH = 3
 
@@ -28,19 +28,24 @@ def lines(text: Column | None = None) -> Column:
     return F.split(F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit("")), "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``docs`` with n_units (lines), n_removed and kept_text added."""
+def _dedup(docs: DataFrame, width: int) -> DataFrame:
     covered = repeated_units(with_units(docs, lines()), F.col("units"), width)
     return without_covered(docs, lines(), covered, "\n")
 
 
+def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with n_units (lines), n_removed and kept_text added."""
+    return with_results(docs, _dedup(docs, width))
+
+
 def rewrite(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with covered lines cut out of ``text`` and ``n_chars`` set anew.
 
     A document all of whose lines were covered goes; it has nothing left.
     """
-    done = dedup_lines(docs, width).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_units")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("n_chars"))
-    values = {"text": text, **({"n_chars": n_chars.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})}
+    hit = F.col(N_REMOVED) > 0
+    done = _dedup(docs, width).where(~hit | (F.col(N_REMOVED) < F.col(N_UNITS)))
+    values = {"text": F.when(hit, F.col(KEPT)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        values["n_chars"] = F.when(hit, F.char_length(KEPT)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return done.select(*[values.get(c, F.col(c)).alias(c) for c in docs.columns])

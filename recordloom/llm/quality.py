@@ -196,12 +196,12 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, model: Model | list[int], grade: int) -> DataFrame:
-    """``docs`` with ``_expected`` and ``_tail`` = P(grade >= ``grade``) added; all columns stay."""
+    """``docs`` with ``__rl_expected`` and ``__rl_tail`` = P(grade >= ``grade``) added; all columns stay."""
     if isinstance(model, list):
         only = F.lit(float(model[0])) if model else F.lit(None).cast("double")
-        return docs.withColumns({"_expected": only, "_tail": F.lit(1.0)})
+        return docs.withColumns({"__rl_expected": only, "__rl_tail": F.lit(1.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit(0.0).alias("_expected"), F.lit(0.0).alias("_tail")).schema
+    schema = docs.select("*", F.lit(0.0).alias("__rl_expected"), F.lit(0.0).alias("__rl_tail")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: Model | list[int], grade: int) -> DataFrame:
             edges = np.concatenate([np.zeros((len(below), 1)), below, np.ones((len(below), 1))], axis=1)
             of_each = np.diff(edges, axis=1)
             columns = [pa.array(np.round(of_each @ levels, 6)), pa.array(np.round(of_each[:, levels >= grade].sum(axis=1), 6))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, ("_expected", pa.float64()), ("_tail", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], schema=pa.schema([*batch.schema, ("__rl_expected", pa.float64()), ("__rl_tail", pa.float64())]))
 
     return docs.mapInArrow(run, schema)
 
@@ -229,11 +229,11 @@ def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, expected_grade, p_best, keep) for each document."""
     rows = texts(docs)
     scored = score(rows, fit(docs, graded_labels(labels)), GRADE)
-    return scored.select("doc_id", F.col("_expected").alias("expected_grade"), F.col("_tail").alias("p_best"), (F.col("_tail") >= KEEP_FROM).alias("keep"))
+    return scored.select("doc_id", F.col("__rl_expected").alias("expected_grade"), F.col("__rl_tail").alias("p_best"), (F.col("__rl_tail") >= KEEP_FROM).alias("keep"))
 
 
 def select(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents of ``docs`` that are kept; all columns stay."""
     names = docs.columns
     scored = score(docs, fit(docs, graded_labels(labels)), GRADE)
-    return scored.where(F.col("_tail") >= KEEP_FROM).select(*names)
+    return scored.where(F.col("__rl_tail") >= KEEP_FROM).select(*names)

@@ -61,23 +61,33 @@ def repeated_units(rows: DataFrame, same: Column, width: int, min_words: int | N
     return spans.select(*KEY, covered.alias("covered"))
 
 
+#: The columns that ``without_covered`` adds; names of this prefix are reserved.
+N_UNITS, N_REMOVED, KEPT = "__rl_units", "__rl_removed", "__rl_kept"
+
+
 def without_covered(docs: DataFrame, units: Column, covered: DataFrame, separator: str) -> DataFrame:
-    """``docs`` with n_units, n_removed and kept_text added; all rows and columns stay.
+    """``docs`` with the numbers of units and of removed units and the kept text added; all rows and columns stay.
 
     ``units`` is built on ``docs``' own text column. Documents without a covered
     unit keep their text as it is.
     """
     names = docs.columns
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    side = covered.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("covered").alias("_covered"))
-    joined = docs.join(side, (docs["doc_id"].cast("long").eqNullSafe(side["_doc"])) & (key == side["_hash"]), "left")
+    side = covered.select(F.col("doc_id").alias("__rl_doc"), F.col("text_hash").alias("__rl_hash"), F.col("covered").alias("__rl_covered"))
+    joined = docs.join(side, (docs["doc_id"].cast("long").eqNullSafe(side["__rl_doc"])) & (key == side["__rl_hash"]), "left")
     n = F.size(units)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("_covered")), lambda i: F.get(units, i))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__rl_covered")), lambda i: F.get(units, i))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hit = F.col("_covered").isNotNull()
+    hit = F.col("__rl_covered").isNotNull()
     return joined.select(
-        *[docs[c] for c in names],
-        n.cast("long").alias("n_units"),
-        F.when(hit, F.size("_covered")).otherwise(0).cast("long").alias("n_removed"),
-        F.when(hit, F.array_join(kept, separator)).otherwise(text).alias("kept_text"),
+        *names,
+        n.cast("long").alias(N_UNITS),
+        F.when(hit, F.size("__rl_covered")).otherwise(0).cast("long").alias(N_REMOVED),
+        F.when(hit, F.array_join(kept, separator)).otherwise(text).alias(KEPT),
     )
+
+
+def with_results(docs: DataFrame, done: DataFrame) -> DataFrame:
+    """``done`` with n_units, n_removed and kept_text, which replace columns of ``docs`` that are so named."""
+    added = {"n_units": N_UNITS, "n_removed": N_REMOVED, "kept_text": KEPT}
+    return done.select(*[c for c in docs.columns if c not in added], *[F.col(v).alias(k) for k, v in added.items()])

@@ -11,7 +11,7 @@ blanks around them.
 Defined cases: a null text is empty; a text of one or two short sentences has no
 run and stays; runs of blanks only don't count; rows of equal doc_id and text are
 one document; a null doc_id comes before all others; further columns pass through
-untouched.
+untouched, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.repeats import repeated_units, with_units, without_covered
+from recordloom.llm.repeats import repeated_units, with_results, with_units, without_covered
 
 WIDTH, MIN_WORDS = 3, 40
 #: A fixed pattern that the SQL check shares.
@@ -35,4 +35,4 @@ def dedup_sentences(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WO
     """``docs`` with n_units (sentences), n_removed and kept_text added."""
     same = F.transform("units", lambda s: F.btrim(s, F.lit(" \t\r\n")))
     covered = repeated_units(with_units(docs, sentences()), same, width, min_words)
-    return without_covered(docs, sentences(), covered, "")
+    return with_results(docs, without_covered(docs, sentences(), covered, ""))

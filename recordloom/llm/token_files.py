@@ -16,8 +16,8 @@ File layout (little-endian)::
 id) stand beside the files. A task writes under a name of its own and renames;
 a repeated task replaces its file with the same content.
 
-Whole words go through the library once per worker: its pre-tokenizer never
-joins what a blank or a line feed separates. A bounded table keeps their ids.
+Each distinct word goes through the library once per worker: its pre-tokenizer
+never joins what a blank or a line feed separates. Bounded tables keep the ids.
 
 Defined cases: a null text is empty and gives the end id alone; an empty table
 gives an empty manifest and no rows; equal doc_ids are ordered by text; strings
@@ -36,52 +36,89 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import partitions, pieces, texts
+from recordloom.llm.common import Known, partitions, pieces, texts
 
 MAGIC, TAIL, VERSION = b"TOKF", b"FKOT", 1
-CACHE_ENTRIES = 250_000
-CACHE_CHARS = 40
 BATCH_BYTES = 2 << 20
 DOCS_PER_FILE = 8192
 LEVEL = 3
 
 
+#: What the vocabulary file's pre-tokenizer matches, after lower-casing.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of these characters are cut into pieces here; others go to the library
+#: whole, so that two Unicode versions never meet.
+COMMON = regex.compile(r"[\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer file whose pre-tokenizer drops white space."""
+    """Ids of texts by a tokenizer file whose pre-tokenizer drops white space.
+
+    Words, then their pieces, are looked up; pieces not yet known go through the
+    library many at a time, parted by blanks, and its end-of-word tokens tell them
+    apart.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if len(vocabulary) <= 1 << 16 else 4
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.words, self.pieces = Known(), Known()
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new_pieces(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        for at in range(0, len(new), 1000):
+            some = new[at : at + 1000]
+            (ids,) = self._library([" ".join(some)])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                cut = [0, *(ends * self.width).tolist()]
+                data = ids.tobytes()
+                out.update((p, data[a:b]) for p, a, b in zip(some, cut, cut[1:]))
+            else:  # a vocabulary without end-of-word tokens
+                out.update((p, x.tobytes()) for p, x in zip(some, self._library(some)))
+        return out
+
+    def _new_words(self, new: list[str]) -> dict[str, bytes]:
+        plain = [w for w in new if w.isalpha() and (w.isascii() or COMMON.fullmatch(w))]
+        mixed = [w for w in new if not w.isalpha() and COMMON.fullmatch(w)]
+        alone = [w.lower() for w in plain]
+        cut = [PIECE.findall(w.lower()) for w in mixed]
+        pieces = self.pieces
+        unknown = pieces.missing([alone, *cut])
+        pieces.update(self._new_pieces(unknown))
+        get = pieces.__getitem__
+        out = dict(zip(plain, map(get, alone)))
+        out.update((w, b"".join(map(get, own))) for w, own in zip(mixed, cut))
+        pieces.forget_long(unknown)
+        odd = [w for w in new if w not in out]
+        out.update((w, x.tobytes()) for w, x in zip(odd, self._library(odd) if odd else []))
+        return out
 
     def encode(self, values: list[str]) -> list[bytes]:
         """Each text's ids, ``width`` bytes each."""
-        kind = f"<u{self.width}"
         cut = [t.replace("\n", " ").split(" ") for t in values]
-        found = set().union(*cut)
-        known = self.known
-        new = [w for w in found if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                keep = {w: known[w] for w in found if w in known}
-                known.clear()
-                known[""] = b""
-                known.update(keep)
-            ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((w, np.array(e.ids, kind).tobytes()) for w, e in zip(new, ids))
-        get = known.__getitem__
-        out = [b"".join(map(get, words)) for words in cut]
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del known[w]
+        words = self.words
+        new = words.missing(cut)
+        words.update(self._new_words(new))
+        get = words.__getitem__
+        out = [b"".join(map(get, own)) for own in cut]
+        words.forget_long(new)
         return out
 
 
