@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, fingerprints, licenses, line_dedup, oracles, quality, sentence_dedup, simhash, token_files
+from recordloom.llm import bpe, decontaminate, fingerprints, licenses, line_dedup, oracles, quality, sentence_dedup, simhash, substring_dedup, token_files
 from recordloom.llm.common import new_folder, table
 
 
@@ -18,6 +18,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(files).drop("text", "path")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit, items = decontaminate.n_hit(F.col("hits")), decontaminate.items_of(F.col("hits"))
@@ -68,6 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
