@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recordloom.sources import idlists
@@ -18,7 +19,6 @@ EXAMPLES = 5
 ERROR, WARNING = "error", "warning"
 MATCH_HEADER = ["source1_entity_id", "matched_entity_ids"]
 CANDIDATE_HEADER = ["source1_entity_id", "candidate_entity_ids"]
-_FINDING = "severity string, check string, n bigint, examples array<string>"
 
 
 def rows_of(lists: DataFrame) -> DataFrame:
@@ -80,14 +80,16 @@ def malformed_lines(lists: DataFrame) -> DataFrame:
     return lists.where("malformed").select(F.col("source1_entity_id").alias("offender"))
 
 
-def summarize(offenders: DataFrame, check: str, severity: str = ERROR) -> DataFrame:
-    """The finding of ``offenders``: their number and the first few; no row if there are none.
+def summarize(offenders: dict[str, DataFrame], severity: str = ERROR) -> DataFrame:
+    """One finding for each check that has offenders: their number and the first few.
 
-    The first few come from a top-k, so no list of all offenders is built.
+    All checks are one tagged plan. The first few come from a ranking that is cut
+    before the shuffle, so no list of all offenders is built.
     """
-    top = offenders.orderBy("offender").limit(EXAMPLES).agg(F.array_sort(F.collect_list("offender")).alias("examples"))
-    total = offenders.agg(F.count("*").alias("n"))
-    return total.join(top).where("n > 0").select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), "n", "examples")  # one row each
+    tagged = reduce(DataFrame.unionByName, (o.select(F.lit(c).alias("check"), "offender") for c, o in offenders.items()))
+    ranked = tagged.withColumn("place", F.row_number().over(W.partitionBy("check").orderBy("offender"))).where(F.col("place") <= EXAMPLES)
+    top = ranked.groupBy("check").agg(F.array_sort(F.collect_list("offender")).alias("examples"))
+    return tagged.groupBy("check").agg(F.count("*").alias("n")).join(top, "check").select(F.lit(severity).alias("severity"), "check", "n", "examples")
 
 
 def id_list_findings(lists: DataFrame, required: DataFrame, targets: DataFrame | None, label: str) -> DataFrame:
@@ -102,7 +104,7 @@ def id_list_findings(lists: DataFrame, required: DataFrame, targets: DataFrame |
     }
     if targets is not None:
         checks["id in no target file"] = unknown_ids(lists, targets)
-    return reduce(DataFrame.unionByName, (summarize(o, f"{label}: {c}") for c, o in checks.items()))
+    return summarize({f"{label}: {c}": o for c, o in checks.items()})
 
 
 @dataclass
@@ -117,15 +119,29 @@ class Report:
         return all(severity != ERROR for severity, *_ in self.findings)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, p = _path(spark, path)
+    return files.exists(p)
+
+
+def _has_mark(spark: SparkSession, path: str) -> bool:
+    """Whether the file begins with a byte-order mark, which line readers drop."""
+    files, p = _path(spark, path)
+    stream = files.open(p)
+    try:
+        return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
+    finally:
+        stream.close()
 
 
 def _not_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether any byte sequence is no UTF-8; checked on the executors, file by file."""
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return bool(spark.read.format("binaryFile").load(path).where(text.isNull()).limit(1).count())
+    """Whether any line is no UTF-8; checked on the executors."""
+    return not spark.read.option("lineSep", "\n").text(path).where(~F.is_valid_utf8("value")).isEmpty()
 
 
 def _parsed(spark: SparkSession, path: str, expected: list[str], label: str, findings: list) -> DataFrame | None:
@@ -139,7 +155,7 @@ def _parsed(spark: SparkSession, path: str, expected: list[str], label: str, fin
         return fatal("file is empty", path)
     if "\t" not in head and "," in head:
         return fatal("header has commas and no tab", head)
-    if [c.strip().lower() for c in head.split("\t")] != expected:
+    if _has_mark(spark, path) or [c.strip().lower() for c in head.split("\t")] != expected:
         return fatal("unexpected header", head)
     return idlists.id_lists(idlists.body(spark, path))
 
@@ -173,5 +189,5 @@ def validate(spark: SparkSession, matching: str, candidate: str | None, test_dir
             counts[label] = row_counts(lists).first().asDict()
             findings += [tuple(r) for r in id_list_findings(lists, required, targets, label).collect()]
     if len(parsed) == 2:
-        findings += [tuple(r) for r in summarize(not_in_candidates(parsed["matches"], parsed["candidates"]), "matches not among the candidates", WARNING).collect()]
+        findings += [tuple(r) for r in summarize({"matches not among the candidates": not_in_candidates(parsed["matches"], parsed["candidates"])}, WARNING).collect()]
     return Report(findings, counts)
