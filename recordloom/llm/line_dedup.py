@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.repeats import KEPT, N_REMOVED, N_UNITS, repeated_units, with_results, with_units, without_covered
+from recordloom.llm.repeats import KEPT, N_REMOVED, N_UNITS, covered_units, keyed, windows, with_covered, with_results
 
 WIDTH = 3
 
@@ -29,8 +29,17 @@ def lines(text: Column | None = None) -> Column:
 
 
 def _dedup(docs: DataFrame, width: int) -> DataFrame:
-    covered = repeated_units(with_units(docs, lines()), F.col("units"), width)
-    return without_covered(docs, lines(), covered, "\n")
+    covered = covered_units(windows(keyed(docs), lines(), width))
+    rows = with_covered(docs, covered).withColumn("__rl_lines", lines())
+    hit = F.col("__rl_covered").isNotNull()
+    left = F.array_except(F.sequence(F.lit(0), F.size("__rl_lines") - 1), F.col("__rl_covered"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("__rl_lines", i)), "\n")
+    return rows.select(
+        *docs.columns,
+        F.size("__rl_lines").cast("long").alias(N_UNITS),
+        F.when(hit, F.size("__rl_covered")).otherwise(0).cast("long").alias(N_REMOVED),
+        F.when(hit, kept).otherwise(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(KEPT),
+    )
 
 
 def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Repeated runs of consecutive units (lines, sentences), with DataFrame operations only.
+"""Repeated runs of consecutive units (lines, sentences) in a corpus.
 
-Every run is hashed to 96 bits. Runs are counted globally, with partial sums
+A run is known by a 96-bit hash. Runs are counted globally, with partial sums
 before the shuffle, and the first occurrence in (doc_id, text, position) order is
-kept with the count. Runs that occur again are then found by a join in which each
-hash stands once on one side, so a hot run's rows can be split freely.
+kept with the count. The repeated hashes are written to the shared folder; the runs
+that occur again are then found by a join in which each hash stands once on one
+side, so adaptive execution can split a hot run's rows.
 """
 
 from __future__ import annotations
@@ -11,80 +12,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import materialize
+
 #: A row's identity: rows of equal doc_id and text are one document.
 KEY = ("doc_id", "text_hash")
 
 
-def with_units(docs: DataFrame, units: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, units) of each row; a null text is empty. ``units`` is built on a column ``text``."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, text) of each row; a null text is empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), units.alias("units"))
-
-
-def _runs(rows: DataFrame, same: Column, width: int, min_words: int | None) -> DataFrame:
-    """(doc_id, text_hash, at, n, h, g): runs of n units from unit ``at`` on and their hashes.
-
-    All runs of ``width`` units that are not blank throughout; with ``min_words``,
-    also shorter runs of at least so many words.
-    """
-    rows = rows.withColumn("same", same)
-    size = F.size("same")
-
-    def run(i: Column, n: int) -> Column:
-        parts = [F.get("same", i + k) for k in range(n)]
-        text = F.concat_ws("\n", *parts)
-        return F.struct(i.alias("at"), F.lit(n).alias("n"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"), text.alias("t"))
+    return rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
-    def every(n: int, keep) -> Column:
-        at = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(F.filter(F.transform(at, lambda i: run(i, n)), keep), lambda r: r.dropFields("t"))
 
-    kinds = [every(width, lambda r: F.length(F.btrim(r["t"], F.lit(" \t\r\n"))) > 0)]
-    if min_words:
-        enough = lambda r: F.length(r["t"]) - F.length(F.translate(r["t"], " \n", "")) >= min_words - 1
-        kinds += [every(n, enough) for n in range(1, width)]
-    return rows.select(*KEY, F.explode(F.concat(*kinds)).alias("r")).select(*KEY, "r.at", "r.n", "r.h", "r.g")
+def windows(rows: DataFrame, units: Column, width: int) -> DataFrame:
+    """(doc_id, text_hash, at, n, h, g): each run of ``width`` units from unit ``at`` on that isn't blank throughout."""
+    rows = rows.select(*KEY, units.alias("units")).where(F.size("units") >= width)
+    text = lambda i: F.concat_ws("\n", *[F.get("units", i + k) for k in range(width)])
+    made = F.transform(F.sequence(F.lit(0), F.size("units") - width), lambda i: F.struct(i.alias("at"), text(i).alias("t")))
+    runs = rows.select(*KEY, F.explode(made).alias("r")).where(F.length(F.btrim("r.t", F.lit(" \t\r\n"))) > 0)
+    return runs.select(*KEY, "r.at", F.lit(width).alias("n"), F.xxhash64("r.t").alias("h"), F.hash("r.t").alias("g"))
 
 
-def repeated_units(rows: DataFrame, same: Column, width: int, min_words: int | None = None) -> DataFrame:
+def covered_units(runs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, covered): the units inside any run that occurred before.
 
-    ``rows`` come from ``with_units``; ``same`` is the array of what is compared, one
-    string for each unit.
+    ``runs`` is (doc_id, text_hash, at, n, h, g) and is read twice.
     """
-    runs = _runs(rows, same, width, min_words)
     place = lambda: F.struct(*KEY, "at")
-    seen = runs.groupBy("h", "g").agg(F.count("*").alias("times"), F.min(place()).alias("first")).where("times > 1").drop("times")
+    seen = materialize(runs.groupBy("h", "g").agg(F.count("*").alias("times"), F.min(place()).alias("first")).where("times > 1").drop("times"), "repeats")
     later = runs.join(seen, ["h", "g"]).where(~place().eqNullSafe(F.col("first")))
     spans = later.groupBy(*KEY).agg(F.collect_set(F.struct("at", "n")).alias("spans"))
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
     return spans.select(*KEY, covered.alias("covered"))
 
 
-#: The columns that ``without_covered`` adds; names of this prefix are reserved.
-N_UNITS, N_REMOVED, KEPT = "__rl_units", "__rl_removed", "__rl_kept"
-
-
-def without_covered(docs: DataFrame, units: Column, covered: DataFrame, separator: str) -> DataFrame:
-    """``docs`` with the numbers of units and of removed units and the kept text added; all rows and columns stay.
-
-    ``units`` is built on ``docs``' own text column. Documents without a covered
-    unit keep their text as it is.
-    """
-    names = docs.columns
+def with_covered(docs: DataFrame, covered: DataFrame) -> DataFrame:
+    """``docs`` with the array ``__rl_covered`` (null where nothing is covered); names of this prefix are reserved."""
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     side = covered.select(F.col("doc_id").alias("__rl_doc"), F.col("text_hash").alias("__rl_hash"), F.col("covered").alias("__rl_covered"))
     joined = docs.join(side, (docs["doc_id"].cast("long").eqNullSafe(side["__rl_doc"])) & (key == side["__rl_hash"]), "left")
-    n = F.size(units)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), F.col("__rl_covered")), lambda i: F.get(units, i))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hit = F.col("__rl_covered").isNotNull()
-    return joined.select(
-        *names,
-        n.cast("long").alias(N_UNITS),
-        F.when(hit, F.size("__rl_covered")).otherwise(0).cast("long").alias(N_REMOVED),
-        F.when(hit, F.array_join(kept, separator)).otherwise(text).alias(KEPT),
-    )
+    return joined.select(*docs.columns, "__rl_covered")
+
+
+#: The columns of the result of a dedup before they are named.
+N_UNITS, N_REMOVED, KEPT = "__rl_n", "__rl_removed", "__rl_kept"
 
 
 def with_results(docs: DataFrame, done: DataFrame) -> DataFrame:

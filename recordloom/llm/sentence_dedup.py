@@ -16,23 +16,77 @@ untouched, but for those named like the results, which are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import re
+from collections.abc import Iterator
 
-from recordloom.llm.repeats import repeated_units, with_results, with_units, without_covered
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from recordloom.llm.common import pieces
+from recordloom.llm.repeats import KEPT, KEY, N_REMOVED, N_UNITS, covered_units, keyed, with_covered, with_results
 
 WIDTH, MIN_WORDS = 3, 40
+BATCH_BYTES = 2 << 20
 #: A fixed pattern that the SQL check shares.
 SENTENCE = r"[^.!?\n]+[.!? \t\r\n]*|[.!?\n]+[ \t\r\n]*"
+_sentences = re.compile(SENTENCE.encode()).findall
+_BLANK = b" \t\r\n"
+
+
+def runs_of(text: bytes, width: int, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, text) of each run that counts."""
+    units = [s.strip(_BLANK) for s in _sentences(text)]
+    out = [(i, width, t) for i in range(len(units) - width + 1) if (t := b"\n".join(units[i : i + width])).strip(_BLANK)]
+    blanks = [s.count(b" ") + s.count(b"\n") for s in units]
+    for n in range(1, width):
+        # one blank fewer than words in a sentence; sentences are joined by one more
+        out += [(i, n, b"\n".join(units[i : i + n])) for i in range(len(units) - n + 1) if sum(blanks[i : i + n]) + n >= min_words]
+    return out
+
 
+def span_runs(docs: DataFrame, width: int, min_words: int) -> DataFrame:
+    """(doc_id, text_hash, at, n, h, g) of every run."""
 
-def sentences(text: Column | None = None) -> Column:
-    """The sentences of a text, together the whole text."""
-    return F.regexp_extract_all(F.coalesce((F.col("text") if text is None else text).cast("string"), F.lit("")), F.lit(SENTENCE), F.lit(0))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for batch in pieces(batches, "text", BATCH_BYTES):
+            found = [runs_of(t, width, min_words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
+            flat = [r for own in found for r in own]
+            hashes = np.frombuffer(b"".join([xxh3_128_digest(t) for _, _, t in flat]), [("h", "<i8"), ("g", "<i4"), ("_", "<i4")])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c).take(owner) for c in KEY),
+                    pa.array([i for i, _, _ in flat], pa.int32()),
+                    pa.array([n for _, n, _ in flat], pa.int32()),
+                    pa.array(hashes["h"]),
+                    pa.array(hashes["g"]),
+                ],
+                [*KEY, "at", "n", "h", "g"],
+            )
+
+    return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, at int, n int, h long, g int")
 
 
 def dedup_sentences(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with n_units (sentences), n_removed and kept_text added."""
-    same = F.transform("units", lambda s: F.btrim(s, F.lit(" \t\r\n")))
-    covered = repeated_units(with_units(docs, sentences()), same, width, min_words)
-    return with_results(docs, without_covered(docs, sentences(), covered, ""))
+    rows = with_covered(docs, covered_units(span_runs(docs, width, min_words)))
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(N_UNITS, T.LongType()), T.StructField(N_REMOVED, T.LongType()), T.StructField(KEPT, T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", BATCH_BYTES):
+            units, gone, kept = [], [], []
+            for text, covered in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__rl_covered").to_pylist()):
+                own = _sentences(text or b"")
+                out = set(covered or ())
+                units.append(len(own))
+                gone.append(len(out))
+                kept.append(b"".join([s for i, s in enumerate(own) if i not in out]) if out else text or b"")
+            columns = [pa.array(units, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *columns], [*names, N_UNITS, N_REMOVED, KEPT])
+
+    return with_results(docs, rows.mapInArrow(run, schema))
