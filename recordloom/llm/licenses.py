@@ -9,8 +9,8 @@ directory whose licence file (LICENSE, LICENCE, COPYING, NOTICE) has one.
 Most lines are dismissed without a vector. A line is looked at only if it holds an
 anchor, and the anchors are chosen so that no template has a share of ``THRESHOLD``
 of its length outside of them: by Cauchy-Schwarz, a line without an anchor cannot
-reach the threshold. The lines left are bounded by a cosine that counts each of
-their terms once in the line's length, and only those beyond it are counted exactly.
+reach the threshold. The lines left are bounded by a cosine whose length takes terms of no template by
+number only, and only those beyond it are counted exactly.
 
 Defined cases: a null text is empty and has no licence; a null path is a file of no
 directory; equal cosines go to the alphabetically first licence, then to the first
@@ -27,6 +27,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.llm.common import materialize
+
 THRESHOLD = 0.75
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -47,6 +49,8 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Words that any text has, the last choice for an anchor.
+COMMON = ("a", "all", "and", "by", "has", "in", "into", "is", "of", "the", "this", "to", "under", "use")
 LICENSE_FILES = ("license", "licence", "copying", "notice")
 
 
@@ -67,40 +71,59 @@ class Templates:
         self.length = {k: math.sqrt(sum(w * w for w in v.values())) for k, v in self.vectors.items()}
         self.threshold = threshold
         anchors = set(df)
-        for t, _ in sorted(df.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
+        for t, _ in sorted(df.items(), key=lambda x: (x[0] not in COMMON, len(x[0]), -x[1], x[0])):  # long words are rare in other texts
             rest = anchors - {t}
             if all(math.sqrt(sum(w * w for u, w in v.items() if u not in rest)) < threshold * self.length[k] * (1 - 1e-9) for k, v in self.vectors.items()):
                 anchors = rest
         self.anchors = sorted(anchors)
 
     def anchor_pattern(self) -> str:
-        """Matches where a term that is an anchor stands."""
-        return r"(?i)(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in self.anchors) + r")(?![a-z0-9])"
+        """Matches where a term that is an anchor stands, in lower case."""
+        return r"(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in self.anchors) + r")(?![a-z0-9])"
+
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body has it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-def _literal_map(values: dict[str, float]) -> Column:
-    return F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*(F.lit(float(v)) for v in values.values())))
+
+def _doubles(values) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
 
 
 def _matches(terms: Column, t: Templates) -> Column:
-    """The best (similarity, licence) of a line's terms as a struct, null below the threshold."""
-    idf, unseen = _literal_map(t.idf), F.lit(t.unseen)
-    weight = lambda x: F.coalesce(F.try_element_at(idf, x), unseen)
-    total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda s, x: s + f(x))
-    known = F.filter(terms, lambda x: F.map_contains_key(idf, x))
-
-    def best(square: Column) -> Column:
-        found = []
-        for name, vector in t.vectors.items():
-            of = _literal_map({u: w * t.idf[u] for u, w in vector.items()})
-            dot = total(known, lambda x, of=of: F.coalesce(F.try_element_at(of, x), F.lit(0.0)))
-            found.append(F.struct(F.round(dot / (F.sqrt(square) * F.lit(t.length[name])), 6).alias("similarity"), F.lit(name).alias("license")))
-        return F.array_max(F.transform(F.array(*found), lambda s: F.struct(s["similarity"], F.lit(0).alias("_"), s["license"])))
-
-    once = F.array_distinct(terms)
-    at_most = best(total(once, lambda x: weight(x) * weight(x)))
-    exact = best(total(once, lambda x: F.pow(weight(x) * F.size(F.filter(terms, lambda y: y == x)), F.lit(2.0))))
-    return F.when(at_most["similarity"] >= t.threshold, exact)
+    """The (similarity, license) structs of a unit's terms that reach the threshold; null for most units.
+
+    Terms of no template count by their number alone at first: u distinct ones among o
+    have a squared length of at least max(u, o * o / u) each way they repeat.
+    """
+    vocabulary = F.expr("array(" + ", ".join(f"'{u}'" for u in t.idf) + ")")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
+    dot = lambda tf, weights: total(F.zip_with(tf, _doubles(weights), lambda a, b: a * b))
+    names = list(t.vectors)
+    per_term = {k: [v.get(u, 0.0) * t.idf[u] for u in t.idf] for k, v in t.vectors.items()}
+
+    def with_tf(terms: Column, known: Column, tf: Column) -> Column:
+        unknown = F.array_except(terms, vocabulary)
+        u, o = F.size(unknown), F.size(terms) - F.size(known)
+        least = F.when(u > 0, F.greatest(u.cast("double"), o * o / u)).otherwise(0.0)
+        square = total(F.zip_with(tf, _doubles(t.idf.values()), lambda a, b: a * b * a * b))
+        return _let(
+            F.struct(square.alias("square"), least.alias("least"), F.array(*[dot(tf, per_term[k]) / t.length[k] for k in names]).alias("dots"), unknown.alias("unknown")),
+            lambda s: F.when(
+                F.array_max(s["dots"]) >= F.lit(t.threshold - 1e-6) * F.sqrt(s["square"] + t.unseen**2 * s["least"]),
+                _let(
+                    F.sqrt(s["square"] + t.unseen**2 * total(F.transform(s["unknown"], lambda x: F.pow(F.size(F.filter(terms, lambda y: y == x)).cast("double"), F.lit(2.0))))),
+                    lambda length: F.array(*[F.struct(F.round(F.get(s["dots"], k) / length, 6).alias("similarity"), F.lit(n).alias("license")) for k, n in enumerate(names)]),
+                ),
+            ),
+        )
+
+    def with_terms(terms: Column) -> Column:
+        known = F.filter(terms, lambda x: F.array_contains(vocabulary, x))
+        return _let(known, lambda k: _let(F.transform(vocabulary, lambda v: F.size(F.filter(k, lambda x: x == v)).cast("double")), lambda tf: with_tf(terms, k, tf)))
+
+    return _let(terms, with_terms)
 
 
 def own_licenses(files: DataFrame, templates: Templates) -> DataFrame:
@@ -110,10 +133,11 @@ def own_licenses(files: DataFrame, templates: Templates) -> DataFrame:
     pattern = templates.anchor_pattern()
     units = F.split(text, "\n", -1)
     units = F.when(F.col("is_license_file"), F.concat(units, F.array(text))).otherwise(units)
-    hopeful = F.when(text.rlike(pattern), F.filter(units, lambda u: u.rlike(pattern))).otherwise(F.array().cast("array<string>"))
+    hopeful = F.when(F.lower(text).rlike(pattern), F.filter(units, lambda u: F.lower(u).rlike(pattern))).otherwise(F.array().cast("array<string>"))
     scored = files.withColumn("is_license_file", F.coalesce(name.isin(*LICENSE_FILES), F.lit(False)))
-    scored = scored.withColumn("__rl_units", F.transform(hopeful, lambda u: F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0))))
-    scored = scored.withColumn("__rl_found", F.filter(F.transform("__rl_units", lambda u: _matches(u, templates)), lambda m: m["similarity"] >= templates.threshold))
+    scored = scored.withColumn("__rl_units", hopeful)
+    matches = F.flatten(F.filter(F.transform("__rl_units", lambda u: _matches(F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0)), templates)), lambda m: m.isNotNull()))
+    scored = scored.withColumn("__rl_found", F.filter(matches, lambda m: m["similarity"] >= templates.threshold))
     # the largest similarity, then the first licence
     top = F.array_max(F.transform("__rl_found", lambda m: m["similarity"]))
     first = F.array_min(F.transform(F.filter("__rl_found", lambda m: m["similarity"] == top), lambda m: m["license"]))
@@ -121,9 +145,13 @@ def own_licenses(files: DataFrame, templates: Templates) -> DataFrame:
 
 
 def scan(files: DataFrame, templates: Templates | None = None) -> DataFrame:
-    """``files`` (path, text, ...) with own_license, similarity, is_license_file, license and inherited_from added."""
+    """``files`` (path, text, ...) with own_license, similarity, is_license_file, license and inherited_from for the text.
+
+    The texts are read once: what was found is written to the shared folder before
+    directories are joined.
+    """
     files = files.drop("own_license", "similarity", "is_license_file", "license", "inherited_from")
-    own = own_licenses(files, templates or Templates(TEMPLATES))
+    own = materialize(own_licenses(files, templates or Templates(TEMPLATES)).drop("text"), "licenses")
     directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", ""))
     own = own.withColumn("__rl_dir", directory)
     grants = (
@@ -143,7 +171,7 @@ def scan(files: DataFrame, templates: Templates | None = None) -> DataFrame:
         .select("__rl_of", F.col("near.__rl_grant").alias("__rl_from"), F.col("near.__rl_license").alias("__rl_inherited"))
     )
     joined = own.join(nearest, own["__rl_dir"] == nearest["__rl_of"], "left")
-    names = [*files.columns, "is_license_file", "own_license", "similarity"]
+    names = [*(c for c in files.columns if c != "text"), "is_license_file", "own_license", "similarity"]
     return joined.select(
         *[own[c] for c in names],
         F.coalesce("own_license", "__rl_inherited").alias("license"),

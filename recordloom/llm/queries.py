@@ -15,7 +15,7 @@ from recordloom.llm.common import new_folder, table
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = docs.select("doc_id", "text", licenses.document_path(F.col("doc_id"), F.col("source")).alias("path"))
-    return licenses.scan(files).drop("text", "path")
+    return licenses.scan(files).drop("path")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
