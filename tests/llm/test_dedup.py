@@ -78,6 +78,19 @@ def test_substrings_odd(docs, odd):
     assert substring_dedup.dedup_substrings(docs([])).count() == 0
 
 
+def test_long_texts_are_cut_into_segments(docs, monkeypatch):
+    rng = np.random.default_rng(8)
+    long_one = "".join(rng.choice(list("abcdefgh"), 9000))
+    texts = [long_one, "x" + long_one[2500:7000] + "y", long_one[:300]]
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 1000)
+    whole = [len(p) for parts, _, _ in substring_dedup._segments([t.encode() for t in texts], 200, 1000) for p in parts]
+    assert max(whole) == 1199
+    found = [substring_dedup.contexts(p, 200, 88) for p, _, _ in substring_dedup._segments([long_one.encode()], 200, 1000)]
+    assert sum(int(f["n"].sum()) for f in found) == 9000 - 199
+    got = substring_dedup.dedup_substrings(docs(list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got] == cut_by_count(texts, 200)
+
+
 def test_op2_query(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").toPandas().sort_values("doc_id")
     got = QUERIES["op2_substring_dedup"](spark, tables).toPandas().sort_values("doc_id")
