@@ -47,7 +47,7 @@ LENGTH, ANCHOR = 200, 88
 #: Contexts of one anchor in one shard; bytes of a shard; windows of a merged range.
 HOT, SHARD_BYTES, RANGE_WINDOWS = 4096, 2 << 20, 1 << 19
 BATCH_BYTES = 1 << 20
-_POSITION_BITS = 24
+_POSITION_BITS = 32
 
 
 @lru_cache(maxsize=4)
@@ -87,25 +87,20 @@ def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(values: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) -> dict[str, np.ndarray]:
-    """The contexts of each text: owner, anchor hash ``ah``, context hash ``ch``, first window ``lo``, windows ``n``, distance ``left`` to the anchor."""
+    """The contexts of each text: owner, anchor hash ``ah``, context hash ``ch``, first window ``lo`` and number of windows ``n``."""
     sizes = np.array([len(v) for v in values], np.int64)
     data = np.frombuffer(b"".join(values), np.uint8)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    none = {k: np.zeros(0, np.int64) for k in ("owner", "ah", "ch", "lo", "n", "left")}
-    if len(data) < length:
-        return none
-    if len(data) >= 1 << _POSITION_BITS:
-        raise ValueError("a batch of texts is too long")
+    first = np.cumsum(sizes) - sizes
+    counts = np.maximum(sizes - length + 1, 0)
+    owner = np.repeat(np.arange(len(values)), counts)
+    if not len(owner):
+        return {k: np.zeros(0, np.int64) for k in ("owner", "ah", "ch", "lo", "n")}
     spans = Spans(data)
     place = np.arange(len(data) - anchor + 1)
     hashes = spans.of(place, place + anchor)
-    low = np.uint64((1 << _POSITION_BITS) - 1)
+    low = np.uint64((1 << _POSITION_BITS) - 1)  # of equal upper bits the first counts, wherever the window stands
     least = _sliding_least(hashes & ~low | place.astype(np.uint64), length - anchor + 1)
     at = (least & low).astype(np.int64)  # of each window: its anchor
-    counts = np.maximum(sizes - length + 1, 0)
-    owner = np.repeat(np.arange(len(values)), counts)
-    if not len(owner):
-        return none
     window = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + first[owner]
     at = at[window]
     new = np.ones(len(window), bool)
@@ -113,32 +108,43 @@ def contexts(values: list[bytes], length: int = LENGTH, anchor: int = ANCHOR) ->
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(window)))
     lo, at, owner = window[begin], at[begin], owner[begin]
-    left = at - lo
-    ch = spans.of(lo, lo + n + length - 1) + (n * 65536 + left).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return {"owner": owner, "ah": hashes[at].view(np.int64), "ch": mix(ch).view(np.int64), "lo": lo - first[owner], "n": n, "left": left}
+    ch = spans.of(lo, lo + n + length - 1) + (n * 65536 + at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return {"owner": owner, "ah": hashes[at].view(np.int64), "ch": mix(ch).view(np.int64), "lo": lo - first[owner], "n": n}
+
 
+def _segments(values: list[bytes], length: int, limit: int) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """(segments, owners, offsets), about ``limit`` bytes at a time.
 
-def _long_pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Small batches; a text beyond the batch limit stands alone."""
-    for batch in pieces(batches, column, BATCH_BYTES):
-        sizes = np.array([len(x or b"") for x in batch.column(column).to_pylist()])
-        start = 0
-        for i in range(1, len(sizes) + 1):
-            if i == len(sizes) or sizes[start : i + 1].sum() > 8 * BATCH_BYTES:
-                yield batch.slice(start, i - start)
-                start = i
+    A longer text is cut into segments that overlap by one byte less than a
+    window, so each of its windows is in one of them.
+    """
+    found: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+    size = 0
+    for i, v in enumerate(values):
+        for at in range(0, max(1, len(v) - length + 1), limit):
+            segment = v[at : at + limit + length - 1]
+            for kept, x in zip(found, (segment, i, at)):
+                kept.append(x)
+            size += len(segment)
+            if size >= limit:
+                yield found
+                found, size = ([], [], []), 0
+    if found[0]:
+        yield found
 
 
 def _anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """(ah, ch, doc, lo, n) of every context of every row of (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _long_pieces(batches, "text"):
-            found = contexts(batch.column("text").cast(pa.binary()).to_pylist(), length, anchor)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found["ah"], pa.int64()), pa.array(found["ch"], pa.int64()), batch.column("doc").take(pa.array(found["owner"])), pa.array(found["lo"], pa.int32()), pa.array(found["n"].astype(np.int16), pa.int16())],
-                ["ah", "ch", "doc", "lo", "n"],
-            )
+        for batch in pieces(batches, "text", BATCH_BYTES):
+            for parts, owners, offsets in _segments(batch.column("text").cast(pa.binary()).to_pylist(), length, BATCH_BYTES):
+                found = contexts(parts, length, anchor)
+                owner, lo = np.array(owners)[found["owner"]], found["lo"] + np.array(offsets)[found["owner"]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found["ah"], pa.int64()), pa.array(found["ch"], pa.int64()), batch.column("doc").take(pa.array(owner, pa.int64())), pa.array(lo, pa.int32()), pa.array(found["n"], pa.int16())],
+                    ["ah", "ch", "doc", "lo", "n"],
+                )
 
     return docs.select("doc", "text").mapInArrow(run, "ah long, ch long, doc long, lo int, n short")
 
