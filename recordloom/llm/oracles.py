@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries that SQL can express, over the same tables."""
 
+from recordloom.llm.licenses import TEMPLATES, TERM, THRESHOLD
+from recordloom.llm.sentence_dedup import MIN_WORDS
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -49,14 +52,12 @@ OP8 = _repeats(
     r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!? \t\r\n]*|[.!?\n]+[ \t\r\n]*')",
     "list_transform(u, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)))",
     3,
-    "length(r) - length(translate(r, ' ' || chr(10), '')) >= 39",
+    f"length(r) - length(translate(r, ' ' || chr(10), '')) >= {MIN_WORDS - 1}",
     "''",
 )
 
 
 def _licenses() -> str:
-    from recordloom.llm.licenses import TEMPLATES, TERM, THRESHOLD
-
     rows = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
     words = rf"regexp_extract_all(lower({{}}), '{TERM}')"
     return f"""

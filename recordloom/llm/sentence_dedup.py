@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from recordloom.llm.common import pieces
 from recordloom.llm.repeats import KEPT, KEY, N_REMOVED, N_UNITS, covered_units, keyed, with_covered, with_results
 
-WIDTH, MIN_WORDS = 3, 40
+WIDTH, MIN_WORDS = 3, 25
 BATCH_BYTES = 2 << 20
 #: A fixed pattern that the SQL check shares.
 SENTENCE = r"[^.!?\n]+[.!? \t\r\n]*|[.!?\n]+[ \t\r\n]*"

@@ -158,7 +158,7 @@ def test_sentences(docs):
         (5, f"Before it. {long_one} After it."), (6, f"{long_one}\nElse."), (7, None), (8, ""), (9, "no end"), (10, "... !!!\n??"), (1, "One here. Two there! Three now? Four."), (None, "Two there! Three now? Five."),
     ]
     pattern = re.compile(sentence_dedup.SENTENCE)
-    want = cut_later_runs(rows, pattern.findall, lambda s: s.strip(" \t\r\n"), 3, 40, "")
+    want = cut_later_runs(rows, pattern.findall, lambda s: s.strip(" \t\r\n"), 3, sentence_dedup.MIN_WORDS, "")
     got = sentence_dedup.dedup_sentences(docs(rows)).collect()
     assert len(got) == len(rows) and all(r.kept_text == want[r.doc_id, r.text or ""] for r in got)
     assert {r.doc_id: r.kept_text for r in got}[6] == "Else."
