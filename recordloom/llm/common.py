@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,26 +16,25 @@ from pyspark.sql import functions as F
 
 
 #: Strings whose ids a worker keeps, beside those of the batch at hand; longer ones are not kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 40
 
 
-class Known(dict[str, bytes]):
+class Known[K: (str, bytes)](dict[K, bytes]):
     """The ids of strings met so far; the older half is forgotten when there are too many."""
 
-    def missing(self, lists: Iterable[list[str]]) -> list[str]:
+    def missing(self, lists: Iterable[list[K]]) -> list[K]:
         """The strings of ``lists`` that aren't known, once each."""
         if len(self) > CACHE_ENTRIES:
             for w in list(islice(self, len(self) // 2)):
                 del self[w]
-        found: set[str] = set()
+        found: set[K] = set()
         for own in lists:
             found.update(filterfalse(self.__contains__, own))
         return list(found)
 
-    def forget_long(self, new: list[str]) -> None:
-        for w in new:
-            if len(w) > CACHE_CHARS:
-                del self[w]
+    def forget_long(self, new: list[K]) -> None:
+        for w in [w for w in new if len(w) > CACHE_CHARS]:
+            del self[w]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +61,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = "file://" + tempfile.mkdtemp(prefix="recordloom-")
+        folder = tempfile.mkdtemp(prefix="recordloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        named = f"file://{folder}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named

@@ -29,8 +29,8 @@ from recordloom.llm.shingles import mix, shingles
 
 WIDTH, BINS, BITS = 5, 512, 4
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 2000
-#: Documents whose ids bound one range of the ordered pass.
-DOCS_PER_RANGE = 4096
+#: Documents of one range of the ordered pass, at most and, where there are few partitions' worth, at least.
+DOCS_PER_RANGE, LEAST_DOCS = 4096, 256
 
 
 @lru_cache(maxsize=64)
@@ -114,7 +114,7 @@ def _with_successors(docs: DataFrame, docs_per_range: int) -> tuple[DataFrame, i
     rows = texts(docs)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = rows.select("doc_id").count()
-    wanted = max(1, min(n, max(partitions(docs.sparkSession), -(-n // docs_per_range))))
+    wanted = max(1, min(partitions(docs.sparkSession), n // LEAST_DOCS), -(-n // docs_per_range))
     shares, accuracy = [k / wanted for k in range(wanted)], max(10_000, 20 * wanted)
     least, cuts = rows.select(F.min(key), F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(accuracy))).first()
     bounds = sorted({least, *cuts}) if n else [0]

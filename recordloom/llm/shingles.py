@@ -57,13 +57,18 @@ def word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return buf, starts, ends, np.concatenate([[0], np.searchsorted(starts, texts_end - 1, "left")]).astype(np.int64)
 
 
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first): the word hashes of all texts in order."""
-    buf, starts, ends, first = word_spans(texts)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes."""
     power, inverse = _powers(1 << max(20, int(len(buf)).bit_length()))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_byte_values()[buf] * power[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts]), first
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
+
+
+def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): the word hashes of all texts in order."""
+    buf, starts, ends, first = word_spans(texts)
+    return span_hashes(buf, starts, ends), first
 
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -16,8 +16,10 @@ File layout (little-endian)::
 id) stand beside the files. A task writes under a name of its own and renames;
 a repeated task replaces its file with the same content.
 
-Each distinct word goes through the library once per worker: its pre-tokenizer
-never joins what a blank or a line feed separates. Bounded tables keep the ids.
+Each distinct piece goes through the library once per worker: its pre-tokenizer
+never joins what a blank or a line feed separates. A bounded table keeps the ids. Within
+a batch of a few megabytes pieces are told apart by 64-bit hash and length, across
+batches by their bytes.
 
 Defined cases: a null text is empty and gives the end id alone; an empty table
 gives an empty manifest and no rows; equal doc_ids are ordered by text; strings
@@ -36,33 +38,77 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import Known, partitions, pieces, texts
+from recordloom.llm.shingles import span_hashes
 
 MAGIC, TAIL, VERSION = b"TOKF", b"FKOT", 1
 BATCH_BYTES = 2 << 20
-DOCS_PER_FILE = 8192
+#: Documents of one file, at most on average and, where there are few partitions' worth, at least.
+DOCS_PER_FILE, LEAST_DOCS = 8192, 256
 LEVEL = 3
 
 
-#: What the vocabulary file's pre-tokenizer matches, after lower-casing.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Words of these characters are cut into pieces here; others go to the library
-#: whole, so that two Unicode versions never meet.
-COMMON = regex.compile(r"[\x20-\x7e\u00a1-\u012f\u0131-\u024f]*")
+#: Kinds of bytes: blank and line feed, letters (and the bytes of Latin-1 letters), digits, signs, and
+#: others. Apostrophes are among the others, since they may take the letter after them.
+_BREAK, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[0x0A, 0x20]] = _BREAK
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x27] = _OTHER
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x61:0x7B] = _LETTER
+_LATIN = 0xC3  # begins the UTF-8 of U+00C0 to U+00FF
+
+
+def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, whole, first): the stretches of all texts that are encoded separately.
+
+    A-Z and the upper-case Latin-1 letters are lower-cased, as the normalizer does.
+    Words of blank-free letters, digits and signs are cut as the pre-tokenizer cuts
+    them: runs of letters, single digits, runs of signs. Words with any other byte
+    stay ``whole``. Text i has the units first[i]:first[i + 1].
+    """
+    buf = np.frombuffer(b" ".join(texts).lower(), np.uint8).copy()
+    kind = _KIND[buf]
+    second = np.flatnonzero(buf[:-1] == _LATIN) + 1
+    letters = second[(buf[second] != 0x97) & (buf[second] != 0xB7)]
+    kind[letters] = kind[letters - 1] = _LETTER
+    upper = letters[buf[letters] <= 0x9E]
+    buf[upper] += 0x20
+    inside = kind != _BREAK
+    new = inside.copy()
+    new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    stop = np.append(inside[:-1] & (new[1:] | ~inside[1:]), inside[-1:])
+    whole = np.zeros(len(buf) + 1, bool)
+    odd = np.flatnonzero(kind == _OTHER)
+    if len(odd):
+        edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+        words, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        which = np.unique(np.searchsorted(words, odd, "right") - 1)
+        depth = np.zeros(len(buf) + 1, np.int32)
+        depth[words[which]] += 1
+        np.subtract.at(depth, ends[which], 1)
+        whole = np.cumsum(depth) > 0
+        new &= ~whole[:-1]
+        new[words[which]] = True
+        stop &= ~whole[:-1]
+        stop[ends[which] - 1] = True
+    starts, ends = np.flatnonzero(new), np.flatnonzero(stop) + 1
+    texts_end = np.cumsum([len(t) + 1 for t in texts])
+    return buf, starts, ends, whole[starts], np.concatenate([[0], np.searchsorted(starts, texts_end - 1, "left")]).astype(np.int64)
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer file whose pre-tokenizer drops white space.
+    """Ids of texts by a tokenizer file whose pre-tokenizer drops white space and joins letters, single digits and signs.
 
-    Words, then their pieces, are looked up; pieces not yet known go through the
-    library many at a time, parted by blanks, and its end-of-word tokens tell them
-    apart.
+    Units (see ``units_of``) are looked up; those not yet known go through the
+    library, pieces many at a time, parted by blanks, where the end-of-word tokens
+    tell them apart.
     """
 
     def __init__(self, path: str) -> None:
@@ -75,51 +121,54 @@ class WordEncoder:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.words, self.pieces = Known(), Known()
+        self.known: Known[bytes] = Known()
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{self.width}") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _new_pieces(self, new: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
+    def _pieces(self, new: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
-            (ids,) = self._library([" ".join(some)])
+            (ids,) = self._library([b" ".join(some).decode()])
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some):
                 cut = [0, *(ends * self.width).tolist()]
                 data = ids.tobytes()
-                out.update((p, data[a:b]) for p, a, b in zip(some, cut, cut[1:]))
+                yield from (data[a:b] for a, b in zip(cut, cut[1:]))
             else:  # a vocabulary without end-of-word tokens
-                out.update((p, x.tobytes()) for p, x in zip(some, self._library(some)))
-        return out
-
-    def _new_words(self, new: list[str]) -> dict[str, bytes]:
-        plain = [w for w in new if w.isalpha() and (w.isascii() or COMMON.fullmatch(w))]
-        mixed = [w for w in new if not w.isalpha() and COMMON.fullmatch(w)]
-        alone = [w.lower() for w in plain]
-        cut = [PIECE.findall(w.lower()) for w in mixed]
-        pieces = self.pieces
-        unknown = pieces.missing([alone, *cut])
-        pieces.update(self._new_pieces(unknown))
-        get = pieces.__getitem__
-        out = dict(zip(plain, map(get, alone)))
-        out.update((w, b"".join(map(get, own))) for w, own in zip(mixed, cut))
-        pieces.forget_long(unknown)
-        odd = [w for w in new if w not in out]
-        out.update((w, x.tobytes()) for w, x in zip(odd, self._library(odd) if odd else []))
-        return out
+                yield from (x.tobytes() for x in self._library([p.decode() for p in some]))
 
     def encode(self, values: list[str]) -> list[bytes]:
-        """Each text's ids, ``width`` bytes each."""
-        cut = [t.replace("\n", " ").split(" ") for t in values]
-        words = self.words
-        new = words.missing(cut)
-        words.update(self._new_words(new))
-        get = words.__getitem__
-        out = [b"".join(map(get, own)) for own in cut]
-        words.forget_long(new)
-        return out
+        """Each text's ids, ``width`` bytes each.
+
+        The units of all texts are told apart by hash, so that each distinct one is
+        looked up once; the ids are then laid out in the units' order.
+        """
+        buf, starts, ends, whole, first = units_of([t.encode() for t in values])
+        _, one, of = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        if ((ends - starts) != (ends - starts)[one][of]).any():  # two units of one hash
+            one = of = np.arange(len(starts))
+        data = buf.tobytes()
+        distinct = [data[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())]
+        known = self.known
+        new = known.missing([distinct])
+        if new:
+            odd = {distinct[i] for i in np.flatnonzero(whole[one]).tolist()}
+            plain = [u for u in new if u not in odd]
+            known.update(zip(plain, self._pieces(plain)))
+            odd = [u for u in new if u in odd]
+            known.update(zip(odd, (x.tobytes() for x in self._library([u.decode() for u in odd]))))
+        ids = list(map(known.__getitem__, distinct))
+        known.forget_long(new)
+        pool = np.frombuffer(b"".join(ids), f"<u{self.width}")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        n = sizes[of]
+        end = np.cumsum(n)
+        take = np.repeat((np.cumsum(sizes) - sizes)[of] - (end - n), n)
+        take += np.arange(len(take))
+        out = pool[take].tobytes()
+        cut = (np.concatenate([[0], end])[first] * self.width).tolist()
+        return [out[i:j] for i, j in zip(cut, cut[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -220,7 +269,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             yield pa.RecordBatch.from_pydict({"name": [name], "first": [ids[0]], "last": [ids[-1]], "docs": [len(ids)], "ids": [sum(counts)]})
 
     rows = texts(docs).where(F.col("doc_id").isNotNull())
-    n = max(1, min(rows.select("doc_id").count(), max(partitions(spark), math.ceil(docs.count() / docs_per_file))))
+    count = rows.select("doc_id").count()
+    n = max(1, min(partitions(spark), count // LEAST_DOCS), math.ceil(count / docs_per_file))
     ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     files = sorted(ordered.mapInArrow(run, "name string, first long, last long, docs long, ids long").collect())
     start, manifest = 0, {"dictionary_sha256": digest.hex(), "tokenizer": tokenizer_path, "files": []}
