@@ -64,7 +64,8 @@ KEY_SEPARATOR = "||"
 
 
 def _map(values: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    """A constant map, as one parsed expression."""
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in values.items()) + ")")
 
 
 def _trim(c: Column) -> Column:

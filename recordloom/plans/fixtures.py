@@ -41,9 +41,21 @@ FROM (SELECT c_custkey AS k FROM customer) t"""
 CTES = f"base AS ({_BASE}),\ns1 AS ({_S1}),\ns2 AS ({_S2}),\ns3 AS ({_S3}),\ntruth AS ({_TRUTH})"
 
 
+_opened: dict[tuple[int, str, str], dict[str, DataFrame]] = {}
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables' plans, opened once a session: schemas are read from the files' footers."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir)
+    if key not in _opened:
+        _opened.clear()
+        _opened[key] = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    return _opened[key]
+
+
 def _named(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One fixture, on plans of its own: no session-wide view is left behind."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    frames = _tables(spark, sf_dir)
     body = {"s1": _S1, "s2": _S2, "s3": _S3}.get(name)
     query = f"WITH base AS ({_BASE}) {body}" if body else _TRUTH
     for t, df in frames.items():
