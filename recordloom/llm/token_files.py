@@ -192,6 +192,17 @@ def _get(uri: str) -> bytes:
         return f.read()
 
 
+def _replace(store: fs.FileSystem, path: str, name: str) -> None:
+    """Rename; where a store doesn't rename onto a file, an earlier attempt's file of the same content goes first."""
+    try:
+        store.move(path, name)
+    except OSError:
+        if store.get_file_info(name).type == fs.FileType.NotFound:
+            raise
+        store.delete_file(name)
+        store.move(path, name)
+
+
 def train_dictionary(docs: DataFrame, tokenizer_path: str, sample_docs: int, max_bytes: int = 112 << 10, longest: int = 1 << 18) -> bytes:
     """A zstandard dictionary from at most ``sample_docs`` documents, chosen by a hash of doc_id.
 
@@ -265,7 +276,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             out.write(np.array(ids, "<i8").tobytes() + np.array(offsets, "<u8").tobytes() + np.array(counts, "<u8").tobytes())
             out.write(struct.pack("<QQ", len(ids), at) + TAIL)
             out.close()
-            store[0].move(temporary, f"{store[1]}/{name}")
+            _replace(store[0], temporary, f"{store[1]}/{name}")
             yield pa.RecordBatch.from_pydict({"name": [name], "first": [ids[0]], "last": [ids[-1]], "docs": [len(ids)], "ids": [sum(counts)]})
 
     rows = texts(docs).where(F.col("doc_id").isNotNull())
