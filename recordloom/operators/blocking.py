@@ -21,13 +21,11 @@ MAX_DF = 100_000
 
 
 class Blocker(Protocol):
-    """``candidates`` takes prepared records (see ``functions.text.prepare``)."""
-
-    def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame: ...
+    """Both take prepared records (see ``functions.text.prepare``); ``pairs`` may repeat a pair, ``candidates`` doesn't."""
 
+    def pairs(self, s1: DataFrame, corpus: DataFrame) -> DataFrame: ...
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select("source1_entity_id", "entity_id").distinct()
+    def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame: ...
 
 
 @dataclass(frozen=True)
@@ -37,10 +35,13 @@ class KeyBlocker:
     key: str
     use_country: bool = True
 
-    def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
+    def pairs(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
         on = ["country", "key"] if self.use_country else ["key"]
         side = lambda df, name: df.select(F.col("entity_id").alias(name), "country", self._key().alias("key")).where("key <> ''")
-        return _pairs(side(s1, "source1_entity_id").join(side(corpus, "entity_id"), on))
+        return side(s1, "source1_entity_id").join(side(corpus, "entity_id"), on).select("source1_entity_id", "entity_id")
+
+    def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
+        return self.pairs(s1, corpus).distinct()
 
     def _key(self):
         return combine_keys(F.col("name_key"), F.col("address_key")) if self.key == "name_address" else F.col(self.key)
@@ -67,7 +68,8 @@ class TokenBlocker:
 
     Frequent tokens are dropped before the wide join. Query tokens meet their
     frequencies first, so each of the two joins has one small row a token on one side
-    or only tokens below the bound.
+    or only tokens below the bound. Source-1 ids are taken for unique, so the sum over
+    a pair's shared tokens is the last shuffle.
     """
 
     tokens: str = "name_tokens"
@@ -75,7 +77,7 @@ class TokenBlocker:
     use_country: bool = True
     max_df: int = MAX_DF
 
-    def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
+    def pairs(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
         queries = _postings(s1, "source1_entity_id", self.tokens, self.use_country)
         postings = _postings(corpus, "entity_id", self.tokens, self.use_country)
         df = postings.groupBy("country", "token").agg(F.count("*").alias("df"))
@@ -84,9 +86,12 @@ class TokenBlocker:
         ranked = known.withColumns({"n_valid": F.count_if(F.col("df") <= self.max_df).over(each), "place": F.row_number().over(each.orderBy("df", "token"))})
         valid = ranked.where((F.col("df") <= self.max_df) | ((F.col("n_valid") == 0) & (F.col("place") == 1)))
         valid = valid.select("source1_entity_id", "country", "token", F.greatest("n_valid", F.lit(1)).alias("n_valid"))
-        shared = valid.join(postings, ["country", "token"]).groupBy("source1_entity_id", "entity_id", "n_valid").agg(F.count("*").alias("n"))
+        shared = valid.join(postings, ["country", "token"]).groupBy("source1_entity_id", "entity_id").agg(F.count("*").alias("n"), F.max("n_valid").alias("n_valid"))
         enough = (F.col("n") >= self.min_overlap) | ((F.col("n_valid") < self.min_overlap) & (F.col("n") == F.col("n_valid")))
-        return _pairs(shared.where(enough))
+        return shared.where(enough).select("source1_entity_id", "entity_id")
+
+    def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
+        return self.pairs(s1, corpus)
 
 
 @dataclass(frozen=True)
@@ -95,8 +100,11 @@ class HybridBlocker:
 
     children: tuple[Blocker, ...] = field(default_factory=lambda: (KeyBlocker("name_key"), KeyBlocker("address_key")))
 
+    def pairs(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
+        return reduce(DataFrame.unionByName, (b.pairs(s1, corpus) for b in self.children))
+
     def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
-        return reduce(DataFrame.unionByName, (b.candidates(s1, corpus) for b in self.children)).distinct()
+        return self.pairs(s1, corpus).distinct()
 
 
 #: The baseline's two keys, without country; a key of both fields could add nothing.
