@@ -194,6 +194,7 @@ ORACLES: dict[str, str] = {
     "ground_truth_sample": _with(f"SELECT * FROM pairs WHERE source1_entity_id IN (SELECT entity_id FROM s1 ORDER BY entity_id LIMIT {SAMPLE})", _PREPARED[2]),
     "count_rows": _with("SELECT (SELECT count(*) FROM s2) + (SELECT count(*) FROM s3) AS rows"),
     "block_exact_name": _with(_key_join("name_key"), *_PREPARED),
+    "stream_exact_name": _with(_key_join("name_key"), *_PREPARED),
     "block_exact_address": _with(_key_join("address_key"), *_PREPARED),
     "block_exact_name_global": _with(_key_join("name_key", False), *_PREPARED),
     "block_exact_address_global": _with(_key_join("address_key", False), *_PREPARED),

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from recordloom.functions import features, text
 from recordloom.operators import blocking, matching, metrics, validate
 from recordloom.plans import fixtures as fx
+from recordloom.session import new_folder
 from recordloom.sources import records, sinks
+from recordloom.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -124,6 +126,17 @@ def token_document_frequency(spark: SparkSession, d: str) -> DataFrame:
     return blocking.token_document_frequency(text.prepare(fx.corpus(spark, d)), "name_tokens")
 
 
+@query
+def stream_exact_name(spark: SparkSession, d: str) -> DataFrame:
+    """Source-1 records that arrive as a stream, against the standing corpus; all that has arrived is worked off."""
+    folder, s1 = new_folder(spark, "stream"), fx.s1(spark, d)
+    s1.write.parquet(f"{folder}/in")
+    pairs = incremental.link_stream(spark.readStream.schema(s1.schema).parquet(f"{folder}/in"), fx.corpus(spark, d))
+    run = pairs.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(pairs.schema).parquet(f"{folder}/out")
+
+
 # --- output and metrics -----------------------------------------------------
 
 
