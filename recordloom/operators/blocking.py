@@ -96,16 +96,30 @@ class TokenBlocker:
 
 @dataclass(frozen=True)
 class HybridBlocker:
-    """The union of any blockers' candidates."""
+    """The union of any blockers' candidates.
+
+    Key blockers are one join: each record gives a row for each of its keys, so
+    records are prepared and shuffled once, however many keys there are.
+    """
 
     children: tuple[Blocker, ...] = field(default_factory=lambda: (KeyBlocker("name_key"), KeyBlocker("address_key")))
 
     def pairs(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
-        return reduce(DataFrame.unionByName, (b.pairs(s1, corpus) for b in self.children))
+        keyed = [b for b in self.children if isinstance(b, KeyBlocker)]
+        found = [b.pairs(s1, corpus) for b in self.children if not isinstance(b, KeyBlocker)]
+        if keyed:
+            found.append(self._keys(s1, "source1_entity_id", keyed).join(self._keys(corpus, "entity_id", keyed), "key").select("source1_entity_id", "entity_id"))
+        return reduce(DataFrame.unionByName, found)
 
     def candidates(self, s1: DataFrame, corpus: DataFrame) -> DataFrame:
         return self.pairs(s1, corpus).distinct()
 
+    @staticmethod
+    def _keys(records: DataFrame, name: str, keyed: list[KeyBlocker]) -> DataFrame:
+        """(name, key): a struct of the blocker's number, the country where it counts, and the key."""
+        of = [F.struct(F.lit(k).alias("of"), (F.col("country") if b.use_country else F.lit("")).alias("country"), b._key().alias("value")) for k, b in enumerate(keyed)]
+        return records.select(F.col("entity_id").alias(name), F.explode(F.array(*of)).alias("key")).where("key.value <> ''")
+
 
 #: The baseline's two keys, without country; a key of both fields could add nothing.
 BASELINE = HybridBlocker((KeyBlocker("ascii_name", use_country=False), KeyBlocker("ascii_address", use_country=False)))
