@@ -3,8 +3,9 @@
 Every shingle of five words is hashed once. The top bits choose one of
 ``BINS`` bins, each bin keeps its least hash, an empty bin takes the value of the
 first filled bin in a fixed pseudo-random order of its own (optimal
-densification), and the low ``BITS`` bits of each bin are packed into the
-fingerprint. Two fingerprints agree in a bin by chance with probability
+densification), and the low ``BITS`` bits of each bin's value, mixed with the bin's
+number, are packed into the fingerprint, so that a value copied to several bins
+doesn't agree in all of them by one chance. Two fingerprints agree in a bin by chance with probability
 2**-BITS, which ``likeness`` corrects for.
 
 Defined cases: a null text is empty; a text without words has the fingerprint of
