@@ -18,8 +18,8 @@ in the same document or another, is removed; strings are judged on the input.
    one there are repeated too.
 4. The repeated windows of a document are joined to it and its bytes cut.
 
-Texts cross the network twice, compressed; nothing is gathered on the driver but
-sums. Anchors (64 bits), contexts (64 more within an anchor) and merged windows
+Texts are read three times and cross the network twice, compressed; nothing is
+gathered on the driver but sums. Anchors (64 bits), contexts (64 more within an anchor) and merged windows
 (128 bits within an anchor) are told apart by hash; windows in a shard by their
 bytes.
 
@@ -217,12 +217,15 @@ def _search_shard(table: pa.Table, length: int) -> pa.Table:
     parts = table.column("bytes").to_pylist()
     ah, ch, hot = (table.column(c).to_numpy() for c in ("ah", "ch", "hot"))
     repeated, context, window = repeated_windows(parts, table.column("times").to_numpy(), length)
-    starts = np.searchsorted(context, np.arange(len(parts) + 1))
-    out: dict[str, list] = {"ah": [], "ch": [], "spans": [], "part": [], "keys": []}
-    for i in range(len(parts)):
-        if spans := _spans_of(repeated[starts[i] : starts[i + 1]]):
-            for k, v in zip(out, (ah[i], ch[i], spans, -1, None)):
-                out[k].append(v)
+    # runs of repeated windows, cut where a context ends
+    follows = np.zeros(len(repeated), bool)
+    follows[1:] = repeated[:-1] & (context[1:] == context[:-1])
+    ends = np.flatnonzero(repeated & ~np.append(follows[1:] & repeated[1:], False))
+    begins = np.flatnonzero(repeated & ~follows)
+    spans = np.stack([window[begins], window[ends] + 1], axis=1).astype(np.int32)
+    own, counts = np.unique(context[begins], return_counts=True)
+    listed = [x.ravel().tolist() for x in np.split(spans, np.cumsum(counts)[:-1])] if len(own) else []
+    out: dict[str, list] = {"ah": ah[own].tolist(), "ch": ch[own].tolist(), "spans": listed, "part": [-1] * len(own), "keys": [None] * len(own)}
     if hot.any():
         data = np.frombuffer(b"".join(parts), np.uint8)
         sizes = np.array([len(p) for p in parts], np.int64)
@@ -322,7 +325,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     ``starts`` and ``ends`` bound the removed byte runs, ``kept`` has the bytes left.
     """
     rows = texts(docs).withColumn("doc", F.xxhash64("doc_id", "text"))
-    found = _anchor_rows(rows, length, anchor)
+    found = materialize(_anchor_rows(rows, length, anchor), "substring-all")
     several = found.groupBy("ah").agg(F.count("*").alias("times")).where("times > 1").select("ah")
     listed = materialize(found.join(materialize(several, "substring-anchors"), "ah"), "substring-contexts")
     distinct = listed.groupBy("ah", "ch").agg(F.count("*").alias("times"), F.min(F.struct("doc", "lo", "n")).alias("one"))

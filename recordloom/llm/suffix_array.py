@@ -13,40 +13,45 @@ _LANES = 16384
 
 
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sa, rank) of ``text`` (uint8): suffixes in order, and each one's place."""
+    """(sa, rank) of ``text`` (uint8): suffixes in order, and each one's place. Texts of under 2**31 bytes."""
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # the first seven bytes in nine bits each; zero stands for the end
-    wide = np.zeros(n + 7, np.uint64)
-    wide[:n] = text.astype(np.uint64) + np.uint64(1)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    # the first bytes of each suffix side by side in one word, in as many bits as the text's bytes need; zero is the end
+    used = np.zeros(256, bool)
+    used[text] = True
+    code = np.zeros(256, np.uint64)
+    code[used] = np.arange(1, int(used.sum()) + 1)
+    bits = int(used.sum()).bit_length()
+    h = 64 // bits
+    wide = np.zeros(n + h, np.uint64)
+    wide[:n] = code[text]
     key = np.zeros(n, np.uint64)
-    for k in range(7):
-        key |= wide[k : n + k] << np.uint64(9 * (6 - k))
-    sa = np.argsort(key)
+    for k in range(h):
+        key |= wide[k : n + k] << np.uint64(bits * (h - 1 - k))
+    sa = np.argsort(key).astype(np.int32)
     key = key[sa]
-    place = np.arange(n)
     new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     del key, wide
-    group = np.maximum.accumulate(np.where(new, place, 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = group
-    open_ = ~(new & np.append(new[1:], True))
-    at, h = np.flatnonzero(open_), 7
+    rank = np.empty(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
+    new[:-1] &= new[1:]  # alone in its group
+    at = np.flatnonzero(~new).astype(np.int32)
     while len(at):
         suffix = sa[at]
-        after = suffix + h
+        after = suffix + np.int32(h)
         follow = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         both = rank[suffix].astype(np.uint64) << np.uint64(32) | follow.astype(np.uint64)
         order = np.argsort(both)
         both = both[order]
         suffix = suffix[order]
         new = np.ones(len(at), bool)
-        new[1:] = both[1:] != both[:-1]
+        np.not_equal(both[1:], both[:-1], out=new[1:])
         sa[at] = suffix
         rank[suffix] = np.maximum.accumulate(np.where(new, at, 0))
-        at = at[~(new & np.append(new[1:], True))]
+        new[:-1] &= new[1:]
+        at = at[~new]
         h *= 2
     return sa, rank
 
