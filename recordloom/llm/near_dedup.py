@@ -1,0 +1,185 @@
+"""Near-duplicates by the likeness of five-word shingle sets.
+
+Two documents are linked if the Jaccard likeness of their sets of ``WIDTH``-word
+shingles is ``LIKENESS`` or more; a document's class is what links reach.
+
+Candidates share one of ``BANDS`` bands, each the hash of ``ROWS`` MinHash values of
+the whole set, and each candidate is held against the exact sets before it links. A
+pair of likeness s is no candidate with probability (1 - s**ROWS)**BANDS, 5e-8 at 0.8.
+
+Texts of equal sets are compared once. The members of a band's file are held against
+one of them, ``STARS`` times, each time a file's members of several classes only, so
+that a large class costs pairs in proportion to its size. Of the pairs across classes
+that are left, those are compared that share one of their rarest shingles, at places
+that leave enough of both sets to be alike; by prefix and position this loses no link.
+
+Defined cases: a null text is empty; texts without words are one class; a text of one
+to four words is one shingle; A-Z are lower-cased; all columns stay.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from recordloom.llm.common import materialize, pieces
+from recordloom.llm.graph import components
+from recordloom.llm.repeats import KEY, keyed
+from recordloom.llm.shingles import mix, shingles
+
+WIDTH = 5
+#: The likeness from which documents are linked, as a fraction.
+LIKENESS = (4, 5)
+BANDS, ROWS, STARS = 32, 4, 2
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 2000
+
+_SALTS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def shingle_sets(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): the distinct shingles of all texts, in ascending order in each."""
+    hashes, at = shingles(values, WIDTH)
+    sets = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:])]
+    return np.concatenate([hashes[:0], *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)])
+
+
+def signatures(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(identity of each set, its bands); a set without members has identity and bands zero."""
+    n = len(at) - 1
+    identity, bands = np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64)
+    some = np.flatnonzero(np.diff(at))
+    if not len(some):
+        return identity, bands
+    begin = at[some]
+    identity[some] = mix(np.add.reduceat(mix(hashes), begin) + np.diff(at)[some].astype(np.uint64))
+    for b in range(BANDS):
+        value = np.full(len(some), b + 1, np.uint64)
+        for salt in _SALTS[b * ROWS : (b + 1) * ROWS]:
+            value = mix(value + np.minimum.reduceat((hashes ^ salt) * (salt | np.uint64(1)), begin))
+        bands[some, b] = value
+    return identity, bands
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _signed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, s, n, bands) of each row: its set's identity, size and bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", BATCH_BYTES, BATCH_ROWS):
+            hashes, at = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
+            identity, bands = signatures(hashes, at)
+            ends = np.arange(len(identity) + 1) * BANDS
+            columns = [pa.array(identity.view(np.int64)), pa.array(np.diff(at)), _lists(np.ascontiguousarray(bands).ravel(), ends)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), *columns], [*KEY, "s", "n", "bands"])
+
+    return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, s long, n long, bands array<long>")
+
+
+def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(s, n, members) of the rows of ``wanted`` (doc_id, text_hash, s)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", BATCH_BYTES, BATCH_ROWS):
+            hashes, at = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(np.diff(at)), _lists(hashes, at)], ["s", "n", "members"])
+
+    rows, side = keyed(docs), wanted.select(F.col("doc_id").alias("__rl_doc"), F.col("text_hash").alias("__rl_hash"), "s")
+    found = rows.join(side, rows["doc_id"].eqNullSafe(side["__rl_doc"]) & (rows["text_hash"] == side["__rl_hash"]))
+    return found.select("s", "text").mapInArrow(run, "s long, n long, members array<long>").dropDuplicates(["s"])
+
+
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose sets are alike enough."""
+    of = lambda k: sets.select(F.col("s").alias(k), F.col("n").alias(f"n_{k}"), F.col("members").alias(f"of_{k}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    part, whole = LIKENESS
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(whole * both >= part * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+
+
+def _classed(filed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``filed`` (key, s, n) with c, in the files that hold several classes."""
+    rows = filed.join(roots.select(F.col("node").alias("s"), "root"), "s", "left").select("key", "s", "n", F.coalesce("root", "s").alias("c"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    return rows.join(mixed, "key")
+
+
+def _starred(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): a file's members of other classes with one of its members; the same one in all files in turn 0."""
+    order = F.xxhash64("s", F.lit(turn), *(["key"] if turn else []))
+    heads = rows.groupBy("key").agg(F.min(F.struct(order.alias("o"), "s", "n", "c")).alias("x"))
+    heads = heads.select("key", F.col("x.s").alias("head"), F.col("x.n").alias("n_head"), F.col("x.c").alias("c_head"))
+    part, whole = LIKENESS
+    near_size = whole * F.least("n", "n_head") >= part * F.greatest("n", "n_head")
+    met = rows.join(heads, "key").where((F.col("c") != F.col("c_head")) & near_size)
+    return met.select(F.least("s", "head").alias("a"), F.greatest("s", "head").alias("b")).distinct()
+
+
+def _by_rarest(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): all pairs across classes of ``rows`` that can be alike, by their first common shingle, rarest first.
+
+    The shingles up to that one are of one set only, so min(n_a - i, n_b - j) is the most they have in common.
+    """
+    part, whole = LIKENESS
+    of = sets.join(rows.select("s", "c").distinct(), "s").select("s", "c", F.explode("members").alias("m"))
+    times = of.groupBy("m").agg(F.count("*").alias("times"))
+    ranked = of.join(times, "m").groupBy("s", "c").agg(F.sort_array(F.collect_list(F.struct("times", "m"))).alias("ranked"))
+    first = F.slice("ranked", F.lit(1), F.floor(F.size("ranked") * F.lit(whole - part) / whole).cast("int") + 1)
+    placed = ranked.select("s", "c", F.size("ranked").alias("n"), F.posexplode(first).alias("i", "x")).where("x.times > 1")
+    placed = materialize(placed.select(F.col("x.m").alias("m"), "s", "c", "n", "i"), "near-rarest")
+    mixed = placed.groupBy("m").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("m")
+    placed = placed.join(mixed, "m")
+    side = lambda k: placed.select("m", F.col("s").alias(k), *[F.col(x).alias(f"{x}_{k}") for x in ("c", "n", "i")])
+    left = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b"))
+    fits = (whole + part) * left >= part * (F.col("n_a") + F.col("n_b"))
+    a, b = side("a"), side("b")
+    # a place that leaves too little of its own set meets nothing
+    able = lambda k: whole * (F.col(f"n_{k}") - F.col(f"i_{k}")) >= part * F.col(f"n_{k}")
+    return a.where(able("a")).join(b.where(able("b")), "m").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
+
+
+def links(signed: DataFrame, docs: DataFrame, stars: int = STARS) -> DataFrame:
+    """(node, root) of the sets that are linked: the smallest identity reachable.
+
+    ``signed`` is a written table of ``_signed(docs)``.
+    """
+    spark = docs.sparkSession
+    filed = signed.select(F.explode("bands").alias("key"), "s", "n").distinct()
+    crowded = filed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    filed = materialize(filed.join(crowded, "key"), "near-files")
+    chosen = signed.join(filed.select("s").distinct(), "s", "left_semi").groupBy("s").agg(F.min(F.struct(*KEY)).alias("k"))
+    sets = materialize(_members(docs, chosen.select("k.*", "s")), "near-sets")
+    found, roots = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
+    for turn in range(stars + 1):
+        filed = materialize(_classed(filed, roots).select("key", "s", "n", "c"), "near-mixed")
+        if filed.isEmpty():
+            break
+        pairs = materialize(_starred(filed, turn) if turn < stars else _by_rarest(filed, sets), "near-pairs")
+        found = materialize(found.unionByName(_alike(pairs, sets)), "near-links")
+        roots = components(found, "near-components")
+    return roots
+
+
+def keep_one_of_each(docs: DataFrame, stars: int = STARS) -> DataFrame:
+    """``docs`` with one row of each class, that of the smallest doc_id, then text hash; null ids come last."""
+    signed = materialize(_signed(docs), "near-signed")
+    roots = links(signed, docs, stars)
+    classed = signed.join(roots, signed["s"] == roots["node"], "left").select(*KEY, F.coalesce("root", "s").alias("c"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), *KEY)
+    firsts = classed.groupBy("c").agg(F.min(place).alias("first")).select("first.doc_id", "first.text_hash")
+    times = signed.groupBy(*KEY).agg(F.count("*").alias("times")).where("times > 1")
+    again = times.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.lit(True).alias("again"))
+    kept = firsts.join(again, firsts["doc_id"].eqNullSafe(again["d"]) & (firsts["text_hash"] == again["h"]), "left")
+    kept = materialize(kept.select(F.col("doc_id").alias("__rl_doc"), F.col("text_hash").alias("__rl_hash"), F.coalesce("again", F.lit(False)).alias("__rl_again")), "near-kept")
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["__rl_doc"]) & (key == kept["__rl_hash"]))
+    # only rows that are repeated as a whole move again
+    single = joined.where(~F.col("__rl_again")).select(*docs.columns)
+    repeated = joined.where("__rl_again").dropDuplicates(["__rl_doc", "__rl_hash"]).select(*docs.columns)
+    return single.unionByName(repeated)

@@ -1,0 +1,58 @@
+"""Near-duplicates of five-word shingles against brute force."""
+
+import re
+
+import numpy as np
+import pytest
+
+from recordloom.llm import near_dedup
+from tests.llm.test_dedup import class_of_each
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def edited_texts():
+    """Texts of 60 to 250 words, each with copies of one to eight changed words, some of them copies of copies."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    out = []
+    for _ in range(12):
+        words = list(rng.choice(vocabulary, int(rng.integers(60, 250))))
+        out.append(" ".join(words))
+        for k in range(10):
+            copy = words.copy()
+            for at in rng.choice(len(copy), int(rng.integers(1, 9)), replace=False):
+                copy[at] = str(rng.choice(vocabulary))
+            out.append(" ".join(copy))
+            words = copy if k % 3 == 2 else words
+    return out
+
+
+@pytest.mark.parametrize("stars", [0, 1, 2])
+def test_one_of_each_class_by_force(docs, odd, stars):
+    rows = [(100 + i, t) for i, t in enumerate(edited_texts())] + ([(i, t) for i, t in odd if i is not None] if stars == 2 else [])
+    sets = {s: i for i, s in enumerate({shingle_set(t) for _, t in rows})}
+    by_number = {i: s for s, i in sets.items()}
+    of = class_of_each(by_number, lambda a, b: alike(by_number[a], by_number[b]))
+    least = {}
+    for i, t in rows:
+        c = of[sets[shingle_set(t)]]
+        least[c] = min(least.get(c, i), i)
+    kept = near_dedup.keep_one_of_each(docs(rows), stars)
+    assert kept.columns == docs([]).columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_one_changed_word_is_found(spark, docs, tables):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    rows = [(1000 * j + k, " ".join(f"{w}x{j}" if i != 7 * k + 1 else "other" for i, w in enumerate(words))) for j in range(5) for k in range(20)]
+    assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs(rows), tables).collect()) == [0, 1000, 2000, 3000, 4000]
