@@ -56,3 +56,11 @@ def test_one_changed_word_is_found(spark, docs, tables):
     words = [f"w{k}" for k in range(200)]
     rows = [(1000 * j + k, " ".join(f"{w}x{j}" if i != 7 * k + 1 else "other" for i, w in enumerate(words))) for j in range(5) for k in range(20)]
     assert sorted(r.doc_id for r in corpus_pipeline.simhash_stage(spark, docs(rows), tables).collect()) == [0, 1000, 2000, 3000, 4000]
+
+
+def test_rows_of_a_class_are_one(docs):
+    base = " ".join(f"w{k}" for k in range(200))
+    near = base.replace("w50 ", "other ")
+    rows = [(3, base), (3, base), (3, "something else"), (5, near), (None, base), (None, "alone"), (None, "alone"), (7, "ALONE"), (None, None), (None, "")]
+    got = sorted(((r.doc_id, r.text or "") for r in near_dedup.keep_one_of_each(docs(rows)).collect()), key=repr)
+    assert got == sorted([(3, base), (3, "something else"), (7, "ALONE"), (None, "")], key=repr)
