@@ -13,7 +13,8 @@ reach the threshold. The lines left are bounded by a cosine whose length takes t
 number only, and only those beyond it are counted exactly.
 
 Defined cases: a null text is empty and has no licence; a null path is a file of no
-directory; equal cosines go to the alphabetically first licence, then to the first
+directory; a path without a slash stands in the directory '', the root of all relative
+paths; absolute paths have a root of their own; equal cosines go to the alphabetically first licence, then to the first
 line; of several licence files in one directory the largest cosine counts, then the
 first licence; repeated rows get equal results; further columns pass through.
 """
@@ -152,25 +153,25 @@ def scan(files: DataFrame, templates: Templates | None = None) -> DataFrame:
     """
     files = files.drop("own_license", "similarity", "is_license_file", "license", "inherited_from")
     own = materialize(own_licenses(files, templates or Templates(TEMPLATES)).drop("text"), "licenses")
-    directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", ""))
-    own = own.withColumn("__rl_dir", directory)
+    directory = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).when(F.col("path").isNotNull(), "")
+    own = own.withColumns({"__rl_dir": directory, "__rl_absolute": F.col("path").startswith("/")})
     grants = (
         own.where(F.col("is_license_file") & F.col("own_license").isNotNull() & F.col("__rl_dir").isNotNull())
-        .groupBy(F.col("__rl_dir").alias("__rl_grant"))
+        .groupBy(F.col("__rl_dir").alias("__rl_grant"), "__rl_absolute")
         .agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("own_license").alias("l"))).alias("best"))
-        .select("__rl_grant", F.col("best.l").alias("__rl_license"))
+        .select("__rl_grant", "__rl_absolute", F.col("best.l").alias("__rl_license"))
     )
     parts = F.split("__rl_dir", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path")))
-    tree = own.select("__rl_dir").where(F.col("__rl_dir").isNotNull()).distinct()
-    climbed = tree.select(F.col("__rl_dir").alias("__rl_of"), F.explode(above).alias("up")).select("__rl_of", F.col("up.depth").alias("depth"), F.col("up.path").alias("__rl_grant"))
+    above = F.transform(F.sequence(F.col("__rl_absolute").cast("int"), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path")))
+    tree = own.select("__rl_dir", "__rl_absolute").where(F.col("__rl_dir").isNotNull()).distinct()
+    climbed = tree.select(F.col("__rl_dir").alias("__rl_of"), "__rl_absolute", F.explode(above).alias("up")).select("__rl_of", "__rl_absolute", F.col("up.depth").alias("depth"), F.col("up.path").alias("__rl_grant"))
     nearest = (
-        climbed.join(grants, "__rl_grant")
-        .groupBy("__rl_of")
+        climbed.join(grants, ["__rl_grant", "__rl_absolute"])
+        .groupBy("__rl_of", "__rl_absolute")
         .agg(F.max(F.struct("depth", "__rl_grant", "__rl_license")).alias("near"))
-        .select("__rl_of", F.col("near.__rl_grant").alias("__rl_from"), F.col("near.__rl_license").alias("__rl_inherited"))
+        .select("__rl_of", F.col("__rl_absolute").alias("__rl_of_absolute"), F.col("near.__rl_grant").alias("__rl_from"), F.col("near.__rl_license").alias("__rl_inherited"))
     )
-    joined = own.join(nearest, own["__rl_dir"] == nearest["__rl_of"], "left")
+    joined = own.join(nearest, (own["__rl_dir"] == nearest["__rl_of"]) & (own["__rl_absolute"] == nearest["__rl_of_absolute"]), "left")
     names = [*(c for c in files.columns if c != "text"), "is_license_file", "own_license", "similarity"]
     return joined.select(
         *[own[c] for c in names],
