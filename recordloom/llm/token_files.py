@@ -1,29 +1,31 @@
 """Token-id files with a shared zstandard dictionary.
 
 ``write_token_files`` encodes documents with a tokenizer of the ``tokenizers``
-library, appends the end id and writes one file per range of ascending doc_id.
-Each document is one zstandard frame of its own, made with a dictionary trained
-on serialized id arrays, so a short document can be read alone.
+library, appends the end id and writes files in ascending doc_id order, a new one
+after ``FILE_BYTES`` of frames. Each document is one zstandard frame of its own,
+made with a dictionary trained on serialized id arrays, so a short document can be
+read alone.
 
 File layout (little-endian)::
 
     b"TOKF" | version u32 | id width u32 | SHA-256 of the dictionary, 32 bytes
     frames, one per document
     doc_id i64 * n | frame offset u64 * (n + 1) | number of ids u64 * n
-    n u64 | offset of the doc_id table u64 | b"FKOT"
+    n u64 | number of null doc_ids, which come first, u64 | offset of the doc_id table u64 | b"FKOT"
 
 ``dictionary`` and ``manifest.json`` (the files with the position of their first
-id) stand beside the files. A task writes under a name of its own and renames;
-a repeated task replaces its file with the same content.
+id) stand beside the files. A task attempt writes files under names of its own;
+the manifest lists those of the attempts that Spark counted, and what other
+attempts left is deleted.
 
 Each distinct piece goes through the library once per worker: its pre-tokenizer
-never joins what a blank or a line feed separates. A bounded table keeps the ids. Within
-a batch of a few megabytes pieces are told apart by 64-bit hash and length, across
-batches by their bytes.
+never joins what a blank or a line feed separates. A bounded table keeps the ids.
+Pieces are told apart by their bytes.
 
-Defined cases: a null text is empty and gives the end id alone; an empty table
-gives an empty manifest and no rows; equal doc_ids are ordered by text; strings
-of special tokens in a text are ordinary text; further columns are dropped.
+Defined cases: a null text is empty and gives the end id alone; a null doc_id comes
+before all others; an empty table gives an empty manifest and no rows; equal doc_ids
+are ordered by text; the string of a special token in a text gives that token's id,
+as the library has it; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import json
 import math
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,13 +47,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import Known, partitions, pieces, texts
-from recordloom.llm.shingles import span_hashes
 
-MAGIC, TAIL, VERSION = b"TOKF", b"FKOT", 1
+MAGIC, TAIL, VERSION = b"TOKF", b"FKOT", 2
 BATCH_BYTES = 2 << 20
-#: Documents of one file, at most on average and, where there are few partitions' worth, at least.
-DOCS_PER_FILE, LEAST_DOCS = 8192, 256
+#: Frames of one file, after which a task begins another.
+FILE_BYTES = 128 << 20
+#: Text of one task, on average; documents of one, at the least; and the most tasks, since each of
+#: them has a hundred sampled ids on the driver. Rows are sorted with spilling, so a task may be large.
+TASK_BYTES, LEAST_DOCS, MOST_TASKS = 16 << 20, 256, 20_000
 LEVEL = 3
+#: Of the dictionary's sample: documents, and serialized bytes of one. Their product bounds what the driver gathers.
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 10
 
 
 #: Kinds of bytes: blank and line feed, letters (and the bytes of Latin-1 letters), digits, signs, and
@@ -65,15 +72,30 @@ _KIND[0x61:0x7B] = _LETTER
 _LATIN = 0xC3  # begins the UTF-8 of U+00C0 to U+00FF
 
 
-def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, whole, first): the stretches of all texts that are encoded separately.
+def _cut_long(text: bytes, limit: int) -> list[bytes]:
+    """A text's segments of about ``limit`` bytes, cut at blanks only."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        cut = text.find(b" ", at + limit)
+        if cut < 0:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
+def units_of(texts: list[bytes], special: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, sizes, whole, first): the stretches of all texts that are encoded separately, side by side.
 
-    A-Z and the upper-case Latin-1 letters are lower-cased, as the normalizer does.
     Words of blank-free letters, digits and signs are cut as the pre-tokenizer cuts
-    them: runs of letters, single digits, runs of signs. Words with any other byte
-    stay ``whole``. Text i has the units first[i]:first[i + 1].
+    them: runs of letters, single digits, runs of signs; their A-Z and upper-case
+    Latin-1 letters are lower-cased, as the normalizer does. Words with any other
+    byte or with a ``special`` string stay ``whole`` and as they are, since
+    composition comes before lower case. Text i has the units first[i]:first[i + 1].
     """
-    buf = np.frombuffer(b" ".join(texts).lower(), np.uint8).copy()
+    joined = b" ".join(texts)
+    raw, lower = np.frombuffer(joined, np.uint8), joined.lower()
+    buf = np.frombuffer(lower, np.uint8).copy()
     kind = _KIND[buf]
     second = np.flatnonzero(buf[:-1] == _LATIN) + 1
     letters = second[(buf[second] != 0x97) & (buf[second] != 0xB7)]
@@ -85,7 +107,13 @@ def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     new[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
     stop = np.append(inside[:-1] & (new[1:] | ~inside[1:]), inside[-1:])
     whole = np.zeros(len(buf) + 1, bool)
-    odd = np.flatnonzero(kind == _OTHER)
+    odd = [np.flatnonzero(kind == _OTHER)]
+    for string in special:
+        at = lower.find(string.lower())
+        while at >= 0:
+            odd.append(np.array([at]))
+            at = lower.find(string.lower(), at + 1)
+    odd = np.concatenate(odd)
     if len(odd):
         edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
         words, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -94,13 +122,15 @@ def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         depth[words[which]] += 1
         np.subtract.at(depth, ends[which], 1)
         whole = np.cumsum(depth) > 0
+        buf[whole[:-1]] = raw[whole[:-1]]
         new &= ~whole[:-1]
         new[words[which]] = True
         stop &= ~whole[:-1]
         stop[ends[which] - 1] = True
     starts, ends = np.flatnonzero(new), np.flatnonzero(stop) + 1
     texts_end = np.cumsum([len(t) + 1 for t in texts])
-    return buf, starts, ends, whole[starts], np.concatenate([[0], np.searchsorted(starts, texts_end - 1, "left")]).astype(np.int64)
+    first = np.concatenate([[0], np.searchsorted(starts, texts_end - 1, "left")]).astype(np.int64)
+    return buf[inside], ends - starts, whole[starts], first
 
 
 class WordEncoder:
@@ -115,7 +145,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = tuple(t.content.encode() for t in added)
+        self.spaced = any(len(t.split()) != 1 for t in self.special)
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if len(vocabulary) <= 1 << 16 else 4
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
@@ -141,15 +173,25 @@ class WordEncoder:
     def encode(self, values: list[str]) -> list[bytes]:
         """Each text's ids, ``width`` bytes each.
 
-        The units of all texts are told apart by hash, so that each distinct one is
-        looked up once; the ids are then laid out in the units' order.
+        Each distinct unit of all texts is looked up once; the ids are then laid out
+        in the units' order.
         """
-        buf, starts, ends, whole, first = units_of([t.encode() for t in values])
-        _, one, of = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if ((ends - starts) != (ends - starts)[one][of]).any():  # two units of one hash
-            one = of = np.arange(len(starts))
-        data = buf.tobytes()
-        distinct = [data[i:j] for i, j in zip(starts[one].tolist(), ends[one].tolist())]
+        if self.spaced:  # strings that a blank cuts through
+            return [x.tobytes() for x in self._library(values)]
+        cut = [_cut_long(t.encode(), BATCH_BYTES) for t in values]
+        if all(len(c) == 1 for c in cut):
+            return self._encode([c[0] for c in cut])
+        return [b"".join(p for k in range(0, len(c), 2) for p in self._encode(c[k : k + 2])) for c in cut]
+
+    def _encode(self, values: list[bytes]) -> list[bytes]:
+        buf, sizes, whole, first = units_of(values, self.special)
+        if not len(sizes):
+            return [b""] * len(values)
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(buf)]).dictionary_encode()
+        of, distinct = units.indices.to_numpy(), units.dictionary.to_pylist()
+        one = np.zeros(len(distinct), np.int64)
+        one[of] = np.arange(len(of))
         known = self.known
         new = known.missing([distinct])
         if new:
@@ -161,10 +203,10 @@ class WordEncoder:
         ids = list(map(known.__getitem__, distinct))
         known.forget_long(new)
         pool = np.frombuffer(b"".join(ids), f"<u{self.width}")
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
-        n = sizes[of]
+        own = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        n = own[of]
         end = np.cumsum(n)
-        take = np.repeat((np.cumsum(sizes) - sizes)[of] - (end - n), n)
+        take = np.repeat((np.cumsum(own) - own)[of] - (end - n), n)
         take += np.arange(len(take))
         out = pool[take].tobytes()
         cut = (np.concatenate([[0], end])[first] * self.width).tolist()
@@ -192,37 +234,27 @@ def _get(uri: str) -> bytes:
         return f.read()
 
 
-def _replace(store: fs.FileSystem, path: str, name: str) -> None:
-    """Rename; where a store doesn't rename onto a file, an earlier attempt's file of the same content goes first."""
-    try:
-        store.move(path, name)
-    except OSError:
-        if store.get_file_info(name).type == fs.FileType.NotFound:
-            raise
-        store.delete_file(name)
-        store.move(path, name)
-
+def train_dictionary(docs: DataFrame, tokenizer_path: str, count: int, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, max_bytes: int = 112 << 10) -> bytes:
+    """A zstandard dictionary from at most ``sample_docs`` of the ``count`` documents, those of least hash.
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, sample_docs: int, max_bytes: int = 112 << 10, longest: int = 1 << 18) -> bytes:
-    """A zstandard dictionary from at most ``sample_docs`` documents, chosen by a hash of doc_id.
-
-    Documents of over ``longest`` serialized bytes are not used for training. Too
-    small a sample gives no dictionary (empty bytes).
+    Documents of over ``sample_bytes`` serialized bytes are not used for training.
+    Too small a sample gives no dictionary (empty bytes).
     """
     import zstandard
 
-    n = docs.count()
-    chosen = texts(docs)
-    if n > sample_docs:
-        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(math.ceil(n / sample_docs))) == 0)
+    mark = F.xxhash64("doc_id", "text")
+    chosen = texts(docs).withColumn("mark", mark)
+    if count > sample_docs:
+        chosen = chosen.where(F.pmod("mark", F.lit(math.ceil(count / sample_docs))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer_path)
         for batch in pieces(batches, "text", BATCH_BYTES):
-            ids = [x for x in own.encode(batch.column("text").to_pylist()) if len(x) <= longest]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["ids"])
+            made = pa.array(own.encode(batch.column("text").to_pylist()), pa.binary())
+            fits = np.diff(np.frombuffer(made.buffers()[1], np.int32)[: len(made) + 1]) <= sample_bytes
+            yield pa.RecordBatch.from_arrays([batch.column("mark"), made], ["mark", "ids"]).filter(pa.array(fits))
 
-    rows = chosen.mapInArrow(run, "ids binary").limit(sample_docs).collect()
+    rows = chosen.select("mark", "text").mapInArrow(run, "mark long, ids binary").orderBy("mark", "ids").limit(sample_docs).collect()
     samples = sorted(bytes(r.ids) for r in rows if r.ids)
     total = sum(map(len, samples))
     try:
@@ -237,14 +269,60 @@ def _dictionary(data: bytes):
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, sample_docs: int = 2000, docs_per_file: int = DOCS_PER_FILE) -> dict:
+class _Writer:
+    """The files of one task attempt, one after another."""
+
+    def __init__(self, folder: str, width: int, digest: bytes) -> None:
+        context = TaskContext.get()
+        self.store, self.folder = _store(folder)
+        self.head = MAGIC + struct.pack("<II", VERSION, width) + digest
+        self.stem = f"ids-{context.partitionId():06d}-{{:04d}}-{context.taskAttemptId()}.tok"
+        self.written: list[str] = []
+        self.out = None
+
+    def add(self, frames: list[bytes], counts: list[int], ids: list[int | None]) -> None:
+        if self.out is None:
+            self.name = self.stem.format(len(self.written))
+            self.written.append(self.name)
+            self.out = self.store.open_output_stream(f"{self.folder}/{self.name}")
+            self.out.write(self.head)
+            self.at, self.nulls, self.ids, self.counts, self.offsets = len(self.head), 0, array("q"), array("Q"), array("Q", [len(self.head)])
+        self.out.write(b"".join(frames))
+        for f in frames:
+            self.at += len(f)
+            self.offsets.append(self.at)
+        self.counts.extend(counts)
+        self.nulls += ids.count(None)
+        self.ids.extend([i or 0 for i in ids])
+
+    def close(self) -> dict | None:
+        """The file's row of the manifest; None if nothing was added."""
+        if self.out is None:
+            return None
+        for table, kind in ((self.ids, "<i8"), (self.offsets, "<u8"), (self.counts, "<u8")):
+            self.out.write(np.array(table, kind).tobytes())
+        self.out.write(struct.pack("<QQQ", len(self.ids), self.nulls, self.at) + TAIL)
+        self.out.close()
+        self.out = None
+        n, ids = self.nulls, self.ids
+        return {"name": self.name, "first": None if n else ids[0], "last": None if n == len(ids) else ids[-1], "docs": len(ids), "ids": sum(self.counts)}
+
+    def discard(self) -> None:
+        if self.out is not None:
+            self.out.close()
+        for name in self.written:
+            self.store.delete_file(f"{self.folder}/{name}")
+
+
+def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, sample_docs: int = SAMPLE_DOCS, file_bytes: int = FILE_BYTES, task_bytes: int = TASK_BYTES) -> dict:
     """Write ``docs`` below ``folder`` (a URI that all executors reach); returns the manifest.
 
     The driver gathers one row per file and, for the dictionary, at most
-    ``sample_docs`` serialized documents.
+    ``sample_docs`` serialized documents of bounded size.
     """
-    spark = docs.sparkSession
-    dictionary = train_dictionary(docs, tokenizer_path, sample_docs)
+    spark, rows = docs.sparkSession, texts(docs)
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()
+    dictionary = train_dictionary(docs, tokenizer_path, count, sample_docs)
     digest = hashlib.sha256(dictionary).digest()
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
@@ -253,44 +331,38 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        own, context = encoder(tokenizer_path), TaskContext.get()
+        own, made = encoder(tokenizer_path), []
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_content_size=True)
         end = np.array([end_id], f"<u{own.width}").tobytes()
-        name, store = f"ids-{context.partitionId():06d}.tok", _store(folder)
-        at, offsets, counts, ids = 12 + 32, [12 + 32], [], []
-        out = None
-        temporary = f"{store[1]}/.{name}.{context.taskAttemptId()}"
-        for batch in pieces(batches, "text", BATCH_BYTES):
-            if out is None:
-                out = store[0].open_output_stream(temporary)
-                out.write(MAGIC + struct.pack("<II", VERSION, own.width) + digest)
-            frames = []
-            for x in own.encode(batch.column("text").to_pylist()):
-                frames.append(press.compress(x + end))
-                counts.append(len(x) // own.width + 1)
-                at += len(frames[-1])
-                offsets.append(at)
-            ids += batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8").tolist()
-            out.write(b"".join(frames))
-        if out is not None:
-            out.write(np.array(ids, "<i8").tobytes() + np.array(offsets, "<u8").tobytes() + np.array(counts, "<u8").tobytes())
-            out.write(struct.pack("<QQ", len(ids), at) + TAIL)
-            out.close()
-            _replace(store[0], temporary, f"{store[1]}/{name}")
-            yield pa.RecordBatch.from_pydict({"name": [name], "first": [ids[0]], "last": [ids[-1]], "docs": [len(ids)], "ids": [sum(counts)]})
-
-    rows = texts(docs).where(F.col("doc_id").isNotNull())
-    count = rows.select("doc_id").count()
-    n = max(1, min(partitions(spark), count // LEAST_DOCS), math.ceil(count / docs_per_file))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = sorted(ordered.mapInArrow(run, "name string, first long, last long, docs long, ids long").collect())
+        writer = _Writer(folder, own.width, digest)
+        try:
+            for batch in pieces(batches, "text", BATCH_BYTES):
+                encoded = own.encode(batch.column("text").to_pylist())
+                writer.add([press.compress(x + end) for x in encoded], [len(x) // own.width + 1 for x in encoded], batch.column("doc_id").to_pylist())
+                if writer.at >= file_bytes:
+                    made.append(writer.close())
+            made += [f for f in [writer.close()] if f]
+        except BaseException:
+            writer.discard()
+            raise
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=pa.schema([("name", pa.string()), *[(c, pa.int64()) for c in ("first", "last", "docs", "ids")]]))
+
+    n = min(MOST_TASKS, max(1, min(partitions(spark), count // LEAST_DOCS), math.ceil(size / task_bytes)))
+    order = F.col("doc_id").asc_nulls_first()
+    ordered = rows.repartitionByRange(n, order).sortWithinPartitions(order, "text")
+    files = sorted(ordered.mapInArrow(run, "name string, first long, last long, docs long, ids long").collect(), key=lambda f: f["name"])
     start, manifest = 0, {"dictionary_sha256": digest.hex(), "tokenizer": tokenizer_path, "files": []}
     for before, f in zip([None, *files], files):
-        if before and before["last"] > f["first"]:
+        if before and before["last"] is not None and (f["first"] is None or before["last"] > f["first"]):
             raise RuntimeError("files are not in ascending doc_id order")
-        manifest["files"].append({"name": f["name"], "first": f["first"], "docs": f["docs"], "start": start})
+        manifest["files"].append({"name": f["name"], "first": f["first"], "last": f["last"], "docs": f["docs"], "start": start})
         start += f["ids"]
     _put(f"{folder}/manifest.json", json.dumps(manifest).encode())
+    listed = {f["name"] for f in files}
+    for found in store.get_file_info(fs.FileSelector(path)):
+        if found.base_name.startswith("ids-") and found.base_name not in listed:
+            store.delete_file(found.path)
     return manifest
 
 
@@ -303,12 +375,12 @@ class TokenFile:
         store, path = _store(uri)
         self.file = store.open_input_file(path)
         size = self.file.size()
-        n, at, tail = struct.unpack("<QQ4s", self.file.read_at(20, size - 20))
+        n, self.nulls, at, tail = struct.unpack("<QQQ4s", self.file.read_at(28, size - 28))
         head = self.file.read_at(44, 0)
         if head[:4] != MAGIC or tail != TAIL or head[12:] != hashlib.sha256(dictionary).digest():
             raise ValueError(f"{uri}: not a token file, or made with another dictionary")
         self.kind = f"<u{struct.unpack('<I', head[8:12])[0]}"
-        table = self.file.read_at(size - 20 - at, at)
+        table = self.file.read_at(size - 28 - at, at)
         self.doc_ids = np.frombuffer(table, "<i8", n)
         self.offsets = np.frombuffer(table, "<u8", n + 1, 8 * n)
         self.counts = np.frombuffer(table, "<u8", n, 8 * (2 * n + 1))
@@ -336,36 +408,37 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     ``ids`` holds packed little-endian unsigned 32-bit integers; a consumer that
     doesn't select it still has every frame expanded and counted.
     """
-    manifest = json.loads(_get(f"{folder}/manifest.json"))
-    files = manifest["files"]
+    files = [(k, f["name"], f["start"]) for k, f in enumerate(json.loads(_get(f"{folder}/manifest.json"))["files"])]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dictionary = _get(f"{folder}/dictionary")
         for batch in batches:
-            for k in batch.column("id").to_pylist():
-                file, start, i = TokenFile(f"{folder}/{files[k]['name']}", dictionary), files[k]["start"], 0
+            for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist()):
+                file, i = TokenFile(f"{folder}/{name}", dictionary), 0
                 for block in file.blocks():
                     packed = [x.astype("<u4").tobytes() for x in block]
                     counts = np.array([len(x) for x in block], np.int64)
                     if (counts != file.counts[i : i + len(block)]).any():
-                        raise ValueError(f"{files[k]['name']}: its index and frames differ")
+                        raise ValueError(f"{name}: its index and frames differ")
                     starts = start + np.cumsum(counts) - counts
+                    null = np.arange(i, i + len(block)) < file.nulls
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(file.doc_ids[i : i + len(block)]), pa.array(starts), pa.array(counts), pa.array([zlib.crc32(x) for x in packed], pa.int64()), pa.array(packed, pa.binary())],
+                        [pa.array(file.doc_ids[i : i + len(block)], mask=null), pa.array(starts), pa.array(counts), pa.array([zlib.crc32(x) for x in packed], pa.int64()), pa.array(packed, pa.binary())],
                         ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                     )
                     i, start = i + len(block), start + int(counts.sum())
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, schema)
+    listed = spark.createDataFrame(files, "k int, name string, start long")
+    return listed.repartitionById(max(1, len(files)), "k").select("name", "start").mapInArrow(run, schema)
 
 
 def read_document(folder: str, doc_id: int) -> np.ndarray | None:
     """The ids of one document, by the manifest and the file's index."""
     manifest, dictionary = json.loads(_get(f"{folder}/manifest.json")), _get(f"{folder}/dictionary")
-    candidates = [f for f in manifest["files"] if f["first"] <= doc_id]
+    candidates = [f for f in manifest["files"] if f["last"] is not None and (f["first"] is None or f["first"] <= doc_id) and doc_id <= f["last"]]
     if not candidates:
         return None
-    file = TokenFile(f"{folder}/{candidates[-1]['name']}", dictionary)
-    i = int(np.searchsorted(file.doc_ids, doc_id))
+    file = TokenFile(f"{folder}/{candidates[0]['name']}", dictionary)
+    i = file.nulls + int(np.searchsorted(file.doc_ids[file.nulls :], doc_id))
     return file.ids(i) if i < len(file.doc_ids) and file.doc_ids[i] == doc_id else None
