@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import math
+import ctypes
 from collections.abc import Iterable, Iterator
 from itertools import filterfalse, islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +62,26 @@ def partitions(spark: SparkSession) -> int:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that ``column`` holds about ``limit`` bytes in each and at most ``rows`` rows, one row at least."""
+    """Cut batches so that ``column`` holds at most ``limit`` bytes in each and at most ``rows`` rows, one row at least.
+
+    Workers outlive tasks, so when the batches are done memory not in use is given back.
+    """
     for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        size = batch.column(column).nbytes
-        step = min(rows, max(1, n // max(1, math.ceil(size / limit))))
-        for at in range(0, n, step):
-            yield batch.slice(at, step)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, before = 0, 0
+        while at < batch.num_rows:
+            to = min(max(at + 1, int(np.searchsorted(ends, before + limit, "right"))), at + rows, batch.num_rows)
+            yield batch.slice(at, to - at)
+            at, before = to, int(ends[to - 1])
+    give_back()
+
+
+def give_back() -> None:
+    """Return the process's free memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def hex_of(value: Column, digits: int) -> Column:

@@ -123,6 +123,98 @@ def within(planes: np.ndarray, query: int, lanes: np.ndarray, order: list[int])
     return out
 
 
+def _full_add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bit by bit, the sum of three planes as (ones, twos)."""
+    either = a ^ b
+    return either ^ c, a & b | either & c
+
+
+def beyond(planes: np.ndarray, query: np.ndarray, lanes: np.ndarray, radius: int) -> np.ndarray:
+    """Of ``lanes``, those that differ from their query in more than ``radius`` bits; other lanes are set too.
+
+    ``planes`` and ``query`` are (bits, words), the bits a multiple of eight. Counters
+    are kept carry-save: eight planes are summed by full adders into ones, twos and
+    fours, and what carries into the eights ripples up. They begin so that the last
+    of them overflows at ``radius + 1``. Words whose lanes are all over are abandoned.
+    """
+    full = np.uint64((1 << 64) - 1)
+    bits = max(3, radius.bit_length())
+    start = (1 << bits) - 1 - radius
+    live = np.flatnonzero(lanes)
+    out = np.full(len(lanes), full)
+    count = [np.full(len(live), full if start >> k & 1 else 0, np.uint64) for k in range(bits)]
+    over = ~lanes[live]
+    planes, query = planes[:, live], query[:, live]
+    for at in range(0, len(planes), 8):
+        x = planes[at : at + 8] ^ query[at : at + 8]
+        one, a = _full_add(count[0], x[0], x[1])
+        one, b = _full_add(one, x[2], x[3])
+        two, c = _full_add(count[1], a, b)
+        one, a = _full_add(one, x[4], x[5])
+        count[0], b = _full_add(one, x[6], x[7])
+        count[1], d = _full_add(two, a, b)
+        count[2], carry = _full_add(count[2], c, d)
+        for k in range(3, bits):
+            count[k], carry = count[k] ^ carry, count[k] & carry
+        over |= carry
+        rest = np.flatnonzero(~over)
+        if not len(rest):
+            return out
+        if 2 * len(rest) < len(live):
+            live, over, planes, query = live[rest], over[rest], planes[:, rest], query[:, rest]
+            count = [c[rest] for c in count]
+    out[live] = over
+    return out
+
+
+def spanning_forests(prints: np.ndarray, first: np.ndarray, radius: int) -> np.ndarray:
+    """Links (i, j) between rows of ``prints`` (n, words of 64 bits), a spanning forest of the pairs within ``radius`` in each file.
+
+    File f has the rows first[f]:first[f + 1]. All files advance together: in each
+    step every file that has unvisited rows holds one row, a found one first, against
+    them; what it finds is visited. A file of m rows gives at most m - 1 links.
+    """
+    width = 64 * prints.shape[1]
+    links = []
+    sizes = np.diff(first)
+    two = first[:-1][sizes == 2]
+    near = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1) <= radius
+    links.append(np.stack([two[near], two[near] + 1], axis=1))
+    files = np.flatnonzero(sizes > 2)
+    words = -(-sizes[files] // _LANES)
+    at = np.concatenate([[0], np.cumsum(words)])  # each file's words
+    rows = np.concatenate([np.arange(first[f], first[f + 1]) for f in files]) if len(files) else np.zeros(0, np.int64)
+    own = np.repeat(np.arange(len(files)), sizes[files])
+    lane = _LANES * at[own] + rows - first[files][own]
+    bits = np.zeros((_LANES * at[-1], width), np.uint8)
+    bits[lane] = np.unpackbits(np.ascontiguousarray(prints[rows]).view(np.uint8), axis=1, bitorder="little")
+    planes = np.ascontiguousarray(np.packbits(bits.reshape(at[-1], _LANES, width).transpose(2, 0, 1).reshape(width, -1), axis=1, bitorder="little")).view(np.uint64)
+    row_of = np.zeros(_LANES * at[-1], np.int64)
+    row_of[lane] = rows
+    fresh = np.zeros(_LANES * at[-1], bool)
+    fresh[lane] = True
+    found = np.zeros(_LANES * at[-1], bool)
+    while fresh.any():
+        # of each file the first found lane, or else the first fresh one
+        order = np.where(found, 0, np.where(fresh, 1, 2)) * (1 << 40) + np.arange(len(fresh))
+        query = np.minimum.reduceat(order, _LANES * at[:-1]) & (1 << 40) - 1
+        found[query] = fresh[query] = False
+        mask = np.repeat((bits[query].T.astype(np.uint64) * np.uint64((1 << 64) - 1)), np.diff(at), axis=1)
+        lanes = np.packbits(fresh, bitorder="little").view(np.uint64)
+        hit = np.unpackbits((~beyond(planes, mask, lanes, radius)).view(np.uint8), bitorder="little").astype(bool)
+        met = np.flatnonzero(hit)
+        owner = np.searchsorted(_LANES * at, met, "right") - 1
+        links.append(np.stack([row_of[query[owner]], row_of[met]], axis=1))
+        fresh[met], found[met] = False, True
+        open_ = np.maximum.reduceat(fresh, _LANES * at[:-1])
+        if 2 * open_.sum() < len(open_):  # only files with unvisited rows go on
+            keep = np.repeat(np.repeat(open_, np.diff(at)), _LANES)
+            planes = planes[:, keep[::_LANES]]
+            bits, row_of, fresh, found = bits[keep], row_of[keep], fresh[keep], found[keep]
+            at = np.concatenate([[0], np.cumsum(np.diff(at)[open_])])
+    return np.concatenate(links)
+
+
 def spanning_links(values: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct ``values``: (least value reached first, other)."""
     n = len(values)

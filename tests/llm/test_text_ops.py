@@ -240,7 +240,8 @@ def test_licences_by_force(spark):
 def test_pipeline_by_force(spark, tables):
     """run() against each stage's brute-force version on the rows its predecessor kept."""
     import public_tokenizers
-    from tests.llm.test_dedup import class_of_each, cut_later_runs, fingerprint
+    from tests.llm.test_dedup import class_of_each, cut_later_runs
+    from tests.llm.test_simhash_near import alike, shingle_set
 
     import corpus_pipeline
 
@@ -252,13 +253,11 @@ def test_pipeline_by_force(spark, tables):
     assert np.mean([i in kept for i in clean]) > 0.95
     cut = cut_later_runs(list(kept.items()), lambda t: t.split("\n"), lambda u: u, 3, None, "\n")
     kept = {i: cut[i, t] for i, t in kept.items() if cut[i, t] or not t}
-    prints = {}
-    for i, t in kept.items():
-        prints.setdefault(fingerprint(t), []).append(i)
-    of = class_of_each(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    sets = {i: shingle_set(t) for i, t in kept.items()}
+    of = class_of_each(kept, lambda a, b: alike(sets[a], sets[b]))
     least = {}
-    for fp, ids in prints.items():
-        least[of[fp]] = min(least.get(of[fp], min(ids)), *ids)
+    for i, c in of.items():
+        least[c] = min(least.get(c, i), i)
     kept = {i: t for i, t in kept.items() if i in set(least.values()) and not hits_by_force(t, benchmark)[1]}
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, tables).collect()}
     assert got.keys() == kept.keys()
