@@ -1,6 +1,6 @@
 """Corpus preparation in five stages, each on what its predecessor kept.
 
-quality classifier -> line dedup -> near-dedup -> benchmark
+quality classifier -> line dedup -> SimHash near-dedup -> benchmark
 decontamination -> byte-level BPE. Every stage's output is written as Parquet to
 the shared folder and read again as the next one's documents.
 """
@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, decontaminate, line_dedup, near_dedup, quality
+from recordloom.llm import bpe, decontaminate, line_dedup, quality, simhash_near
 from recordloom.llm.common import new_folder, table
 
 
@@ -27,7 +26,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, five-word shingles alike to 0.8, that of the smallest doc_id."""
-    return near_dedup.keep_one_of_each(docs)
+    return simhash_near.keep_one_of_each(docs)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
