@@ -1,22 +1,35 @@
 """Licence scan of a file tree, with DataFrame operations only.
 
-Each line of a file, and a licence file's whole text, is a sparse TF-IDF vector.
-Inverse document frequencies come from the templates (a term in none of them has
-the largest). A file's own licence is that of the template with the largest cosine,
-if it reaches ``THRESHOLD``. A file without one inherits from the nearest ancestor
-directory whose licence file (LICENSE, LICENCE, COPYING, NOTICE) has one.
+Units of a file are sparse TF-IDF vectors, held against template vectors:
+
+- every line, against short statements (``license_texts.STATEMENTS``);
+- the header, which is the leading comment, and a licence file's whole text, each as a
+  whole and paragraph by paragraph, against all templates, with the headers, titles
+  and texts of licences (``license_texts.NOTICES``) among them.
+
+Inverse document frequencies come from the templates that a unit is held against (a
+term in none of them has the largest). A file's own licence is that of the template with
+the largest cosine, if it reaches ``THRESHOLD``; a unit with a single term of templates (the
+German word "mit") doesn't count. A file without one inherits from the
+nearest ancestor directory whose licence file (LICENSE, LICENCE, COPYING, NOTICE,
+UNLICENSE, also LICENSE-MIT, COPYING.LESSER) has one.
+
+A leading comment is what stands before the end of a leading ``/* */``, ``<!-- -->`` or
+triple-quoted stretch, or else the leading lines that are blank or begin with a mark of
+comments (``COMMENT``). A line without letters of A-Z or digits ends a paragraph.
 
 Most lines are dismissed without a vector. A line is looked at only if it holds an
 anchor, and the anchors are chosen so that no template has a share of ``THRESHOLD``
 of its length outside of them: by Cauchy-Schwarz, a line without an anchor cannot
-reach the threshold. The lines left are bounded by a cosine whose length takes terms of no template by
-number only, and only those beyond it are counted exactly.
+reach the threshold. The units left are bounded by a cosine whose length takes terms of no
+template by number only, and only those beyond it are counted exactly.
 
 Defined cases: a null text is empty and has no licence; a null path is a file of no
 directory; a path without a slash stands in the directory '', the root of all relative
-paths; absolute paths have a root of their own; equal cosines go to the alphabetically first licence, then to the first
-line; of several licence files in one directory the largest cosine counts, then the
-first licence; repeated rows get equal results; further columns pass through.
+paths; absolute paths have a root of their own; equal cosines go to the alphabetically
+first licence, then to the first unit; of several licence files in one directory the
+largest cosine counts, then the first licence; repeated rows get equal results; further
+columns pass through, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,30 +42,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import materialize
+from recordloom.llm.license_texts import NOTICES, STATEMENTS, license_of
 
-THRESHOLD = 0.75
+#: The least cosine, and the fewest different terms of templates in a unit that counts.
+THRESHOLD, LEAST_TERMS = 0.75, 2
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
+TEMPLATES = STATEMENTS
+#: Fixed patterns that the SQL check shares.
+COMMENT = r"^[ \t\r]*(?:#|//|--|;|%|\*|$)"
+PARAGRAPHS = r"\n[^A-Za-z0-9\n]*\n"
+LICENSE_FILE = r"^(?:unlicense|licen[sc]e|copying|notice)(?:-[a-z0-9.+]+)*(?:\..*)?$"
 
-#: Short statements by which texts name their licence.
-TEMPLATES = {
-    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC0-1.0": "To the extent possible under law, the author has waived all copyright under CC0 1.0.",
-    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "ISC": "Released under the ISC License.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-}
 #: Words that any text has, the last choice for an anchor.
 COMMON = ("a", "all", "and", "by", "has", "in", "into", "is", "of", "the", "this", "to", "under", "use")
-LICENSE_FILES = ("license", "licence", "copying", "notice")
 
 
 def terms_of(text: str) -> list[str]:
@@ -83,13 +85,18 @@ class Templates:
         return r"(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in self.anchors) + r")(?![a-z0-9])"
 
 
+def all_templates() -> Templates:
+    return Templates(STATEMENTS | NOTICES)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is evaluated once however often the body has it."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def _doubles(values) -> Column:
-    return F.expr("array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")")
+    """An array literal, folded from one string."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
 
 
 def _matches(terms: Column, t: Templates) -> Column:
@@ -98,7 +105,7 @@ def _matches(terms: Column, t: Templates) -> Column:
     Terms of no template count by their number alone at first: u distinct ones among o
     have a squared length of at least max(u, o * o / u) each way they repeat.
     """
-    vocabulary = F.expr("array(" + ", ".join(f"'{u}'" for u in t.idf) + ")")
+    vocabulary = F.split(F.lit(",".join(t.idf)), ",")
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
     dot = lambda tf, weights: total(F.zip_with(tf, _doubles(weights), lambda a, b: a * b))
     names = list(t.vectors)
@@ -112,10 +119,10 @@ def _matches(terms: Column, t: Templates) -> Column:
         return _let(
             F.struct(square.alias("square"), least.alias("least"), F.array(*[dot(tf, per_term[k]) / t.length[k] for k in names]).alias("dots"), unknown.alias("unknown")),
             lambda s: F.when(
-                F.array_max(s["dots"]) >= F.lit(t.threshold - 1e-6) * F.sqrt(s["square"] + t.unseen**2 * s["least"]),
+                (F.size(F.array_distinct(known)) >= LEAST_TERMS) & (F.array_max(s["dots"]) >= F.lit(t.threshold - 1e-6) * F.sqrt(s["square"] + t.unseen**2 * s["least"])),
                 _let(
                     F.sqrt(s["square"] + t.unseen**2 * total(F.transform(s["unknown"], lambda x: F.pow(F.size(F.filter(terms, lambda y: y == x)).cast("double"), F.lit(2.0))))),
-                    lambda length: F.array(*[F.struct(F.round(F.get(s["dots"], k) / length, 6).alias("similarity"), F.lit(n).alias("license")) for k, n in enumerate(names)]),
+                    lambda length: F.array(*[F.struct(F.round(F.get(s["dots"], k) / length, 6).alias("similarity"), F.lit(license_of(n)).alias("license")) for k, n in enumerate(names)]),
                 ),
             ),
         )
@@ -127,22 +134,38 @@ def _matches(terms: Column, t: Templates) -> Column:
     return _let(terms, with_terms)
 
 
-def own_licenses(files: DataFrame, templates: Templates) -> DataFrame:
+def _header(text: Column) -> Column:
+    """The leading comment of a text; null where there is none."""
+    start = F.ltrim(text, F.lit(" \t\r\n"))
+    lines = F.split(text, "\n", -1)
+    after = F.array_position(F.transform(lines, lambda x: x.rlike(COMMENT)), False).cast("int")
+    marked = F.when(after > 0, F.slice(lines, F.lit(1), after - 1)).otherwise(lines)
+    return (
+        F.when(start.startswith("/*"), F.split_part(start, F.lit("*/"), F.lit(1)))
+        .when(start.startswith("<!--"), F.split_part(start, F.lit("-->"), F.lit(1)))
+        .when(start.startswith('"""'), F.split_part(start, F.lit('"""'), F.lit(2)))
+        .when(start.rlike(COMMENT) & (start != ""), F.array_join(marked, "\n"))
+    )
+
+
+def own_licenses(files: DataFrame, templates: Templates, notices: Templates | None = None) -> DataFrame:
     """``files`` (path, text, ...) with ``own_license``, ``similarity`` and ``is_license_file`` added."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = F.lower(F.regexp_replace(F.element_at(F.split(F.col("path"), "/"), -1), r"\..*$", ""))
+    name = F.lower(F.element_at(F.split(F.col("path"), "/"), -1))
     pattern = templates.anchor_pattern()
-    units = F.split(text, "\n", -1)
-    units = F.when(F.col("is_license_file"), F.concat(units, F.array(text))).otherwise(units)
-    hopeful = F.when(F.lower(text).rlike(pattern), F.filter(units, lambda u: F.lower(u).rlike(pattern))).otherwise(F.array().cast("array<string>"))
-    scored = files.withColumn("is_license_file", F.coalesce(name.isin(*LICENSE_FILES), F.lit(False)))
-    scored = scored.withColumn("__rl_units", hopeful)
-    matches = F.flatten(F.filter(F.transform("__rl_units", lambda u: _matches(F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0)), templates)), lambda m: m.isNotNull()))
+    hopeful = F.when(F.lower(text).rlike(pattern), F.filter(F.split(text, "\n", -1), lambda u: F.lower(u).rlike(pattern))).otherwise(F.array().cast("array<string>"))
+    scored = files.withColumn("is_license_file", F.coalesce(name.rlike(LICENSE_FILE), F.lit(False)))
+    whole = F.when(F.col("is_license_file"), text).otherwise(_header(text))
+    parts = F.concat(F.array(F.col("__rl_block")), F.split("__rl_block", PARAGRAPHS, -1))
+    scored = scored.withColumns({"__rl_units": hopeful, "__rl_block": whole})
+    scored = scored.withColumn("__rl_blocks", F.coalesce(F.array_distinct(parts), F.array().cast("array<string>")))
+    of = lambda units, t: F.flatten(F.filter(F.transform(units, lambda u: _matches(F.regexp_extract_all(F.lower(u), F.lit(TERM), F.lit(0)), t)), lambda m: m.isNotNull()))
+    matches = F.concat(of("__rl_units", templates), of("__rl_blocks", notices or all_templates()))
     scored = scored.withColumn("__rl_found", F.filter(matches, lambda m: m["similarity"] >= templates.threshold))
     # the largest similarity, then the first licence
     top = F.array_max(F.transform("__rl_found", lambda m: m["similarity"]))
     first = F.array_min(F.transform(F.filter("__rl_found", lambda m: m["similarity"] == top), lambda m: m["license"]))
-    return scored.withColumns({"own_license": first, "similarity": top}).drop("__rl_units", "__rl_found")
+    return scored.withColumns({"own_license": first, "similarity": top}).drop("__rl_units", "__rl_block", "__rl_blocks", "__rl_found")
 
 
 def scan(files: DataFrame, templates: Templates | None = None) -> DataFrame:

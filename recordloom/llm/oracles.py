@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over the same tables."""
 
-from recordloom.llm.licenses import TEMPLATES, TERM, THRESHOLD
+from recordloom.llm.license_texts import NOTICES, STATEMENTS, license_of
+from recordloom.llm.licenses import COMMENT, LEAST_TERMS, PARAGRAPHS, TERM, THRESHOLD
 from recordloom.llm.sentence_dedup import MIN_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -57,34 +58,53 @@ OP8 = _repeats(
 )
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _licenses() -> str:
-    rows = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
+    """Unit kinds: 0 for lines, held against statements; 1 for headers and licence files, held against all templates."""
+    every = [(0, k, t) for k, t in STATEMENTS.items()] + [(1, k, t) for k, t in (STATEMENTS | NOTICES).items()]
+    rows = ", ".join(f"({kind}, {_quoted(k)}, {_quoted(license_of(k))}, {_quoted(t)})" for kind, k, t in every)
     words = rf"regexp_extract_all(lower({{}}), '{TERM}')"
+    lines = "string_split(text, chr(10))"
     return f"""
-WITH templates(license, text) AS (VALUES {rows}),
-tt AS (SELECT license, w, count(*) AS f FROM (SELECT license, unnest({words.format("text")}) AS w FROM templates) t GROUP BY ALL),
-idf AS (SELECT w, ln((1.0 + (SELECT count(*) FROM templates)) / (1 + count(DISTINCT license))) + 1 AS i FROM tt GROUP BY w),
-unseen AS (SELECT ln(1.0 + count(*)) + 1 AS i FROM templates),
-tv AS (SELECT license, w, f * i AS v FROM tt JOIN idf USING (w)),
-tl AS (SELECT license, sqrt(sum(v * v)) AS len FROM tv GROUP BY license),
+WITH templates(kind, name, license, text) AS (VALUES {rows}),
+tt AS (SELECT kind, name, w, count(*) AS f FROM (SELECT kind, name, unnest({words.format("text")}) AS w FROM templates) t GROUP BY ALL),
+size AS (SELECT kind, count(*) AS n FROM templates GROUP BY kind),
+idf AS (SELECT kind, w, ln((1.0 + any_value(n)) / (1 + count(DISTINCT name))) + 1 AS i FROM tt JOIN size USING (kind) GROUP BY kind, w),
+tv AS (SELECT kind, name, w, f * i AS v FROM tt JOIN idf USING (kind, w)),
+tl AS (SELECT kind, name, sqrt(sum(v * v)) AS len FROM tv GROUP BY kind, name),
 d AS (
-  SELECT doc_id, coalesce(text, '') AS text, coalesce(source, 'unknown') || '/' || (doc_id // 4096) AS d2, '/' || (doc_id // 256) AS d3, '/' || (doc_id // 16) AS d4
+  SELECT doc_id, coalesce(text, '') AS text, ltrim(coalesce(text, ''), ' ' || chr(9) || chr(13) || chr(10)) AS start,
+         coalesce(source, 'unknown') || '/' || (doc_id // 4096) AS d2, '/' || (doc_id // 256) AS d3, '/' || (doc_id // 16) AS d4
   FROM documents),
 f AS (
-  SELECT doc_id, text, doc_id % 16 = 0 AS is_license_file,
+  SELECT doc_id, text, start, doc_id % 16 = 0 AS is_license_file,
          CASE WHEN doc_id % 4096 = 0 THEN d2 WHEN doc_id % 256 = 0 THEN d2 || d3 ELSE d2 || d3 || d4 END AS dir FROM d),
+headed AS (
+  SELECT doc_id, text, {lines} AS ls, coalesce(list_position(list_transform({lines}, lambda x: regexp_matches(x, '{COMMENT}')), false), 0) AS after
+  FROM f WHERE NOT is_license_file AND start <> '' AND regexp_matches(start, '{COMMENT}') AND NOT starts_with(start, '/*')),
+blocks AS (
+  SELECT doc_id, text AS b FROM f WHERE is_license_file
+  UNION ALL SELECT doc_id, split_part(start, '*/', 1) FROM f WHERE NOT is_license_file AND starts_with(start, '/*')
+  UNION ALL SELECT doc_id, split_part(start, '-->', 1) FROM f WHERE NOT is_license_file AND starts_with(start, '<!--')
+  UNION ALL SELECT doc_id, split_part(start, '\"\"\"', 2) FROM f WHERE NOT is_license_file AND starts_with(start, '\"\"\"')
+  UNION ALL SELECT doc_id, array_to_string(CASE WHEN after > 0 THEN ls[1 : after - 1] ELSE ls END, chr(10)) FROM headed),
 units AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS u, unnest(range(len(string_split(text, chr(10))))) AS k FROM f
-  UNION ALL SELECT doc_id, text, -1 FROM f WHERE is_license_file),
-ut AS (SELECT doc_id, k, w, count(*) AS n FROM (SELECT doc_id, k, unnest({words.format("u")}) AS w FROM units) t GROUP BY ALL),
-uv AS (SELECT doc_id, k, w, n * coalesce(i, (SELECT i FROM unseen)) AS v FROM ut LEFT JOIN idf USING (w)),
-ul AS (SELECT doc_id, k, sqrt(sum(v * v)) AS len FROM uv GROUP BY ALL),
+  SELECT doc_id, 0 AS kind, unnest({lines}) AS u, unnest(range(len({lines}))) AS k FROM f
+  UNION ALL SELECT doc_id, 1, b, -1 FROM blocks
+  UNION ALL SELECT doc_id, 1, u, row_number() OVER () AS k FROM (SELECT doc_id, unnest(string_split_regex(b, '{PARAGRAPHS}')) AS u FROM blocks) t),
+ut AS (SELECT doc_id, kind, k, w, count(*) AS n FROM (SELECT doc_id, kind, k, unnest({words.format("u")}) AS w FROM units) t GROUP BY ALL),
+uv AS (SELECT doc_id, ut.kind, k, ut.w, ut.n * coalesce(i, ln(1.0 + size.n) + 1) AS v, i IS NOT NULL AS known FROM ut JOIN size ON size.kind = ut.kind LEFT JOIN idf ON idf.kind = ut.kind AND idf.w = ut.w),
+ul AS (SELECT doc_id, kind, k, sqrt(sum(v * v)) AS len FROM uv GROUP BY ALL HAVING count(*) FILTER (WHERE known) >= {LEAST_TERMS}),
 cosine AS (
-  SELECT doc_id, k, license, round(sum(uv.v * tv.v) / (any_value(ul.len) * any_value(tl.len)), 6) AS similarity
-  FROM uv JOIN tv USING (w) JOIN ul USING (doc_id, k) JOIN tl USING (license) GROUP BY doc_id, k, license),
+  SELECT doc_id, kind, k, name, round(sum(uv.v * tv.v) / (any_value(ul.len) * any_value(tl.len)), 6) AS similarity
+  FROM uv JOIN tv USING (kind, w) JOIN ul USING (doc_id, kind, k) JOIN tl USING (kind, name) GROUP BY doc_id, kind, k, name),
 best AS (
   SELECT doc_id, license AS own_license, similarity
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) AS r FROM cosine WHERE similarity >= {THRESHOLD}) t WHERE r = 1),
+  FROM (SELECT doc_id, license, similarity, row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) AS r
+        FROM cosine JOIN (SELECT DISTINCT name, license FROM templates) n USING (name) WHERE similarity >= {THRESHOLD}) t WHERE r = 1),
 g AS (SELECT f.*, own_license, similarity FROM f LEFT JOIN best USING (doc_id)),
 grants AS (SELECT dir AS up, own_license AS lic FROM g WHERE is_license_file AND own_license IS NOT NULL
            QUALIFY row_number() OVER (PARTITION BY dir ORDER BY similarity DESC, own_license) = 1),

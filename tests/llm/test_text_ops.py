@@ -211,6 +211,85 @@ def test_no_line_without_an_anchor_could_match():
         assert re.search(t.anchor_pattern(), licenses.TEMPLATES[name].lower())
 
 
+MIT = licenses.NOTICES["MIT text"].replace("MIT License Copyright (c) ", "MIT License\n\nCopyright (c) 2019-2024 Some One <one@example.org>\n\n")
+APACHE_TITLE = """
+                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.
+"""
+GPL3_TITLE = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.
+"""
+GPL2_HEADER = """# frobnicate: turn things into other things
+# Copyright (C) 2011  Some One
+#
+# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version 2 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+
+import sys
+"""
+APACHE_HEADER = """/*
+ * Copyright 2014 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package a;
+"""
+BSD3 = "Copyright (c) 2005, A University\nAll rights reserved.\n\n" + licenses.NOTICES["BSD-3-Clause text"].replace("the copyright holder nor the names of its", "A University nor the names of its")
+SAMPLES = [
+    ("LICENSE", MIT, "MIT"), ("COPYING", GPL3_TITLE, "GPL-3.0"), ("LICENSE.txt", APACHE_TITLE, "Apache-2.0"), ("LICENSE-APACHE-2.0", APACHE_TITLE, "Apache-2.0"), ("LICENCE", BSD3, "BSD-3-Clause"),
+    ("UNLICENSE", licenses.NOTICES["Unlicense text"], "Unlicense"), ("a.py", GPL2_HEADER, "GPL-2.0"), ("A.java", APACHE_HEADER, "Apache-2.0"), ("b.c", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "GPL-2.0"),
+    ("c.rs", "// SPDX-License-Identifier: MIT\nfn main() {}", "MIT"), ("d.py", "code()\n# SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("e.html", f"<!-- {licenses.NOTICES['MPL-2.0 header']} --><p>x", "MPL-2.0"),
+    ("f.py", f'\n"""A module.\n\n{licenses.NOTICES["LGPL-3.0 terms"]}\n"""\nx = 1', "LGPL-3.0"), ("g.md", "# A title\n\nProse about the software, its source and the public.", None), ("h.txt", "mit", None),
+    ("i.txt", "mit dem Hund", None), ("j.txt", MIT.replace("\n", " "), None), ("k.go", "// Copyright 2012 The Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\npackage k", "BSD-3-Clause"),
+    ("l.txt", "SPDX-License-Identifier: Foo-1.0", None), ("COPYING.LESSER", GPL3_TITLE.replace("GENERAL", "LESSER GENERAL", 1), "LGPL-3.0"),
+]
+
+
+@pytest.mark.parametrize("root", ["", "/srv/tree/"])
+def test_real_headers_and_licence_files(spark, root):
+    rows = [(f"{root}{k}/{name}", text) for k, (name, text, _) in enumerate(SAMPLES)]
+    rows += [(f"{root}{k}/deep/er/x.txt", "prose") for k, (name, _, own) in enumerate(SAMPLES) if licenses.re.match(licenses.LICENSE_FILE, name.lower())]
+    got = {r.path: r for r in licenses.scan(files(spark, rows)).collect()}
+    assert [got[f"{root}{k}/{name}"].own_license for k, (name, _, _) in enumerate(SAMPLES)] == [own for _, _, own in SAMPLES]
+    for k, (name, _, own) in enumerate(SAMPLES):
+        if licenses.re.match(licenses.LICENSE_FILE, name.lower()):
+            assert (got[f"{root}{k}/deep/er/x.txt"].license, got[f"{root}{k}/deep/er/x.txt"].inherited_from) == (own, f"{root}{k}")
+
+
 def cosine(t, line, name):
     from collections import Counter
 
@@ -220,16 +299,20 @@ def cosine(t, line, name):
 
 
 def test_licences_by_force(spark):
-    t = licenses.Templates(licenses.TEMPLATES)
+    t, every = licenses.Templates(licenses.TEMPLATES), licenses.all_templates()
     rng = np.random.default_rng(2)
     terms = [*t.idf, "zebra", "the", "of", "mit", "Ω"]
     lines = [" ".join(rng.choice(terms, rng.integers(1, 12))) for _ in range(150)]
     lines += [s + " " + " ".join(rng.choice(terms, rng.integers(0, 4))) for s in licenses.TEMPLATES.values() for _ in range(6)]
-    lines += ["the the the of of " * 40 + "license", "zebra " * 200 + licenses.TEMPLATES["MIT"]]
+    lines += ["the the the of of " * 40 + "license", "zebra " * 200 + licenses.TEMPLATES["MIT"], "mit", "mit zebra", "MIT License"]
+    lines += [f"# {s[:90]}" for s in licenses.NOTICES.values()] + [f"# {s}".replace("\n", " ") for s in licenses.NOTICES.values()]
     rows = [(f"d/{i}.txt", s) for i, s in enumerate(lines)]
     got = {r.path: (r.own_license, r.similarity) for r in licenses.own_licenses(files(spark, rows).drop("license"), t).collect()}
     for path, line in rows:
-        best = max(((round(cosine(t, line, n), 6), n) for n in t.vectors), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+        known = [len({u for u in licenses.terms_of(line) if u in k.idf}) >= 2 for k in (t, every)]
+        units = [(k, u) for k, u, ok in ((t, line, known[0]), (every, line if line.startswith("#") else "", known[1])) if ok]
+        found = [(round(cosine(k, u, n), 6), licenses.license_of(n)) for k, u in units for n in k.vectors]
+        best = max(found, key=lambda x: (x[0], [-ord(c) for c in x[1]]), default=(0, ""))
         want = (best[1], best[0]) if best[0] >= t.threshold else (None, None)
         assert got[path] == pytest.approx(want) if want[1] is None else (got[path][0] == want[0] and abs(got[path][1] - want[1]) < 2e-6), line
 
