@@ -27,6 +27,24 @@ FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
 
+#: Windows of 200 bytes are 400 hex digits, told apart by MD5.
+OP2 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+segments AS (SELECT doc_id, n, a, substring(h, 2 * a + 1, 1398) AS h FROM (SELECT doc_id, h, n, unnest(range(0, n - 199, 500)) AS a FROM d WHERE n >= 200) t),
+w AS (SELECT doc_id, a + i AS i, md5(substring(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, a, unnest(range(0, least(500, n - 199 - a))) AS i FROM segments) t),
+hit AS (SELECT doc_id, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+b AS (SELECT doc_id, unnest(range(0, n)) AS j, unnest(regexp_extract_all(h, '..')) AS c FROM d),
+near AS (SELECT b.doc_id, j, c, max(i) OVER (PARTITION BY b.doc_id ORDER BY j) AS i FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.i = b.j),
+gone AS (SELECT doc_id, j, c, coalesce(j - i < 200, false) AS g FROM near),
+runs AS (SELECT doc_id, j, c, g, g AND NOT coalesce(lag(g) OVER (PARTITION BY doc_id ORDER BY j), false) AS begins FROM gone),
+sums AS (
+  SELECT doc_id, count(*) FILTER (WHERE g) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(c, '' ORDER BY j) FILTER (WHERE NOT g) AS kept
+  FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)
+"""
+
+
 def _repeats(units: str, same: str, width: int, short: str, separator: str) -> str:
     """First occurrences stay, whatever later runs of units cover goes."""
     run = "array_to_string(s[i : i + n - 1], chr(10))"

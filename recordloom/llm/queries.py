@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op3_decontaminate": oracles.OP3, "op8_sentence_dedup": oracles.OP8, "op10_line_dedup": oracles.OP10}
+ORACLES: dict[str, str] = {"op1_license_scan": oracles.OP1, "op2_substring_dedup": oracles.OP2, "op3_decontaminate": oracles.OP3, "op8_sentence_dedup": oracles.OP8, "op10_line_dedup": oracles.OP10}

@@ -12,20 +12,21 @@ in the same document or another, is removed; strings are judged on the input.
    text gets a suffix array (Larsson-Sadakane) and common prefixes (Kasai). Windows
    that stand together with common prefixes of ``LENGTH`` are one string, and one
    that occurs twice, counted with its contexts, is repeated.
-3. Hot anchors. Contexts of an anchor with over ``HOT`` of them are dealt over several
-   shards. Such a shard also writes its windows in hash order, cut into ranges; the
-   shards' runs of a range are merged by binary search, and windows that meet an equal
-   one there are repeated too.
+3. Merging. Contexts of an anchor with over ``HOT`` of them, as any common passage has,
+   are dealt over several shards. Such a shard also writes its distinct windows in
+   suffix order; the shards' runs are merged by binary search, and windows that meet an
+   equal one there are repeated too. Very long runs are cut into parts by a hash of the
+   window, so equal windows are in the same part.
 4. The repeated windows of a document are joined to it and its bytes cut.
 
 Texts are read three times and cross the network twice, compressed; nothing is
-gathered on the driver but sums. Anchors (64 bits), contexts (64 more within an anchor) and merged windows
-(128 bits within an anchor) are told apart by hash; windows in a shard by their
-bytes.
+gathered on the driver but sums. Anchors (64 bits) and contexts (64 more within an
+anchor) are told apart by hash, documents by doc_id and a hash of the text, windows by
+their bytes.
 
 Defined cases: a null text is empty; a text of under ``LENGTH`` bytes keeps all of
 them; repeated rows are documents like any others, so each one's strings start
-elsewhere; further columns are dropped.
+elsewhere, but are searched once; further columns are dropped.
 """
 
 from __future__ import annotations
@@ -44,10 +45,12 @@ from recordloom.llm.shingles import mix
 from recordloom.llm.suffix_array import common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 200, 88
-#: Contexts of one anchor in one shard; bytes of a shard; windows of a merged range.
-HOT, SHARD_BYTES, RANGE_WINDOWS = 4096, 2 << 20, 1 << 19
+#: Contexts of one anchor in one shard; bytes of a shard; windows of a merged part.
+HOT, SHARD_BYTES, PART_WINDOWS = 128, 2 << 20, 1 << 16
 BATCH_BYTES = 1 << 20
 _POSITION_BITS = 32
+#: What a document is known by: its doc_id and a hash of its text.
+KEY = ("doc", "of")
 
 
 @lru_cache(maxsize=4)
@@ -60,18 +63,31 @@ def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _side_by_side(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on in one word; as many places as hold eight."""
+    n = max(0, len(data) - 7)
+    out = np.zeros(n, np.uint64)
+    for k in range(8):
+        out |= data[k : n + k].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
 class Spans:
-    """Hashes of any spans of a text, as differences of polynomial prefix sums."""
+    """Hashes of any spans of eight bytes or more of a text, as differences of polynomial prefix sums.
+
+    The sums are over mixed words of eight bytes, not over bytes: regular texts
+    (Thue-Morse words) make polynomials in the bytes agree modulo 2**64.
+    """
 
     def __init__(self, data: np.ndarray, base: int = 0xC2B2AE3D27D4EB4F) -> None:
         size = 1 << max(21, len(data).bit_length())
         power, self.inverse = _powers(size, base)
-        values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * power[: len(data)], out=self.sums[1:])
+        values = mix(_side_by_side(data) + np.uint64(base))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * power[: len(values)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        return mix((self.sums[end - 7] - self.sums[start]) * self.inverse[start])
 
 
 def _sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -134,7 +150,7 @@ def _segments(values: list[bytes], length: int, limit: int) -> Iterator[tuple[li
 
 
 def _anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(ah, ch, doc, lo, n) of every context of every row of (doc, text)."""
+    """(ah, ch, doc, of, lo, n) of every context of every row of (doc, of, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", BATCH_BYTES):
@@ -142,11 +158,11 @@ def _anchor_rows(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                 found = contexts(parts, length, anchor)
                 owner, lo = np.array(owners)[found["owner"]], found["lo"] + np.array(offsets)[found["owner"]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found["ah"], pa.int64()), pa.array(found["ch"], pa.int64()), batch.column("doc").take(pa.array(owner, pa.int64())), pa.array(lo, pa.int32()), pa.array(found["n"], pa.int16())],
-                    ["ah", "ch", "doc", "lo", "n"],
+                    [pa.array(found["ah"], pa.int64()), pa.array(found["ch"], pa.int64()), *(batch.column(k).take(pa.array(owner, pa.int64())) for k in KEY), pa.array(lo, pa.int32()), pa.array(found["n"], pa.int16())],
+                    ["ah", "ch", *KEY, "lo", "n"],
                 )
 
-    return docs.select("doc", "text").mapInArrow(run, "ah long, ch long, doc long, lo int, n short")
+    return docs.select(*KEY, "text").mapInArrow(run, "ah long, ch long, doc long, of long, lo int, n short")
 
 
 def _compressed(docs: DataFrame, kept: list[str]) -> DataFrame:
@@ -188,8 +204,11 @@ def _cut_contexts(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("z", "wanted").mapInArrow(run, _CONTEXT)
 
 
-def repeated_windows(parts: list[bytes], times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(repeated, context, window) over all windows of the contexts ``parts``, which occur ``times`` each."""
+def repeated_windows(parts: list[bytes], times: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(repeated, context, window, place, order) over all windows of the contexts ``parts``, which occur ``times`` each.
+
+    ``place`` is where a window stands in the joined parts; ``order`` numbers distinct windows in suffix order.
+    """
     sizes = np.array([len(p) for p in parts], np.int64)
     counts = sizes - length + 1
     data = np.frombuffer(b"".join(parts), np.uint8)
@@ -198,9 +217,9 @@ def repeated_windows(parts: list[bytes], times: np.ndarray, length: int) -> tupl
     place = (np.cumsum(sizes) - sizes)[context] + window
     sa, rank = suffix_array(data)
     run = np.cumsum(common_prefixes(data, sa, length) < length)
-    of_window = run[rank[place]]
-    total = np.bincount(of_window, weights=times[context], minlength=int(run[-1]) + 1)
-    return total[of_window] >= 2, context, window
+    order = run[rank[place]]
+    total = np.bincount(order, weights=times[context], minlength=int(run[-1]) + 1)
+    return total[order] >= 2, context, window, place, order
 
 
 def _spans_of(mask: np.ndarray) -> list[int]:
@@ -208,15 +227,19 @@ def _spans_of(mask: np.ndarray) -> list[int]:
     return np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8))).tolist()
 
 
-_FOUND = "ah long, ch long, spans array<int>, part int, keys binary"
+#: A run's windows: the context, the window in it, and whether the shard knows it to be repeated.
+_MEMBER = [("ch", "<i8"), ("w", "<i2"), ("known", "<i2")]
+_FOUND = "ah long, ch long, spans array<int>, part int, members binary, windows binary"
 
 
 def _search_shard(table: pa.Table, length: int) -> pa.Table:
-    """Repeated windows of one shard's contexts, and the runs to merge of its hot ones."""
+    """Repeated windows of one shard's contexts, and the runs to merge of its dealt anchors."""
+    import zstandard
+
     table = table.combine_chunks()
-    parts = table.column("bytes").to_pylist()
+    contents = table.column("bytes").to_pylist()
     ah, ch, hot = (table.column(c).to_numpy() for c in ("ah", "ch", "hot"))
-    repeated, context, window = repeated_windows(parts, table.column("times").to_numpy(), length)
+    repeated, context, window, place, order = repeated_windows(contents, table.column("times").to_numpy(), length)
     # runs of repeated windows, cut where a context ends
     follows = np.zeros(len(repeated), bool)
     follows[1:] = repeated[:-1] & (context[1:] == context[:-1])
@@ -225,56 +248,58 @@ def _search_shard(table: pa.Table, length: int) -> pa.Table:
     spans = np.stack([window[begins], window[ends] + 1], axis=1).astype(np.int32)
     own, counts = np.unique(context[begins], return_counts=True)
     listed = [x.ravel().tolist() for x in np.split(spans, np.cumsum(counts)[:-1])] if len(own) else []
-    out: dict[str, list] = {"ah": ah[own].tolist(), "ch": ch[own].tolist(), "spans": listed, "part": [-1] * len(own), "keys": [None] * len(own)}
+    out: dict[str, list] = {"ah": ah[own].tolist(), "ch": ch[own].tolist(), "spans": listed, "part": [-1] * len(own), "members": [None] * len(own), "windows": [None] * len(own)}
     if hot.any():
-        data = np.frombuffer(b"".join(parts), np.uint8)
-        sizes = np.array([len(p) for p in parts], np.int64)
+        data = np.frombuffer(b"".join(contents), np.uint8)
+        every, hashes, press = np.lib.stride_tricks.sliding_window_view(data, length), Spans(data), zstandard.ZstdCompressor(level=1)
         which = np.flatnonzero(hot[context] > 0)
-        at = (np.cumsum(sizes) - sizes)[context[which]] + window[which]
-        keys = np.zeros(len(which), [("a", "<u8"), ("b", "<u8"), ("ch", "<i8"), ("w", "<i2"), ("known", "<i2")])
-        for name, base in (("a", 0xC2B2AE3D27D4EB4F), ("b", 0x9FB21C651E98DF25)):
-            keys[name] = Spans(data, base).of(at, at + length)
-        keys["ch"], keys["w"], keys["known"] = ch[context[which]], window[which], repeated[which]
+        # of equal windows one is enough to tell the others, which are known to be repeated
+        by_anchor = np.lexsort((order[which], ah[context[which]]))
+        which = which[by_anchor]
         owner = ah[context[which]]
-        for a in np.unique(owner):
-            own = keys[owner == a]
-            own = own[np.lexsort((own["b"], own["a"]))]
-            # of equal windows, known to be repeated, one is enough to tell the others
-            first = np.ones(len(own), bool)
-            first[1:] = (own["a"][1:] != own["a"][:-1]) | (own["b"][1:] != own["b"][:-1])
-            own = own[first]
-            n = int(max(hot[ah == a]))
-            cut = np.searchsorted(own["a"], np.array([(k << 64) // n for k in range(1, n)], np.uint64))
-            for k, run in enumerate(np.split(own, cut)):
-                if len(run):
-                    for c, v in zip(out, (a, 0, [], k, run.tobytes())):
-                        out[c].append(v)
-    return pa.table({"ah": pa.array(out["ah"], pa.int64()), "ch": pa.array(out["ch"], pa.int64()), "spans": pa.array(out["spans"], pa.list_(pa.int32())), "part": pa.array(out["part"], pa.int32()), "keys": pa.array(out["keys"], pa.binary())})
-
-
-_KEY = [("a", "<u8"), ("b", "<u8"), ("ch", "<i8"), ("w", "<i2"), ("known", "<i2")]
-
-
-def merge_sorted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Two runs in (a, b) order as one: each one's places by binary search in the other."""
-    places = np.searchsorted(x["a"], y["a"], "right") + np.arange(len(y))
-    out = np.empty(len(x) + len(y), x.dtype)
-    mask = np.ones(len(out), bool)
-    mask[places] = False
-    out[places], out[mask] = y, x
-    return out
+        first = np.ones(len(which), bool)
+        first[1:] = (owner[1:] != owner[:-1]) | (order[which][1:] != order[which][:-1])
+        which, owner = which[first], owner[first]
+        parts = hot[context[which]].astype(np.uint64)
+        part = ((hashes.of(place[which], place[which] + length) >> np.uint64(32)) * parts >> np.uint64(32)).astype(np.int64)
+        by_part = np.lexsort((np.arange(len(which)), part, owner))
+        which, owner, part = which[by_part], owner[by_part], part[by_part]
+        members = np.zeros(len(which), _MEMBER)
+        members["ch"], members["w"], members["known"] = ch[context[which]], window[which], repeated[which]
+        cut = np.flatnonzero((owner[1:] != owner[:-1]) | (part[1:] != part[:-1])) + 1
+        for at in np.split(np.arange(len(which)), cut):
+            strings = press.compress(np.ascontiguousarray(every[place[which[at]]]).tobytes())
+            for c, v in zip(out, (int(owner[at[0]]), 0, [], int(part[at[0]]), members[at].tobytes(), strings)):
+                out[c].append(v)
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.binary())
+    return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
+
+
+def merge_sorted(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two runs (windows in order, members) as one: the places of the second by binary search in the first."""
+    places = np.searchsorted(x[0], y[0], "right") + np.arange(len(y[0]))
+    rest = np.ones(len(x[0]) + len(y[0]), bool)
+    rest[places] = False
+    out = []
+    for a, b in zip(x, y):
+        both = np.empty(len(rest), a.dtype)
+        both[places], both[rest] = b, a
+        out.append(both)
+    return out[0], out[1]
+
 
+def _merge_runs(table: pa.Table, length: int) -> pa.Table:
+    """Windows of one anchor and part that occur in several shards' runs."""
+    import zstandard
 
-def _merge_range(table: pa.Table) -> pa.Table:
-    """Windows of one hot anchor and range that occur in several shards' runs."""
-    runs = [np.frombuffer(x, _KEY) for x in table.column("keys").to_pylist()]
+    expand = zstandard.ZstdDecompressor().decompress
+    runs = [(np.frombuffer(expand(x), f"S{length}"), np.frombuffer(m, _MEMBER)) for x, m in zip(table.column("windows").to_pylist(), table.column("members").to_pylist())]
     while len(runs) > 1:
         runs = [merge_sorted(runs[i], runs[i + 1]) if i + 1 < len(runs) else runs[i] for i in range(0, len(runs), 2)]
-    all_ = runs[0]
-    all_ = all_[np.lexsort((all_["b"], all_["a"]))] if (all_["a"][1:] == all_["a"][:-1]).any() else all_
-    same = np.zeros(len(all_) + 1, bool)
-    same[1:-1] = (all_["a"][1:] == all_["a"][:-1]) & (all_["b"][1:] == all_["b"][:-1])
-    found = all_[(same[1:] | same[:-1]) & (all_["known"] == 0)]
+    windows, members = runs[0]
+    same = np.zeros(len(windows) + 1, bool)
+    same[1:-1] = windows[1:] == windows[:-1]
+    found = members[(same[1:] | same[:-1]) & (members["known"] == 0)]
     found = found[np.lexsort((found["w"], found["ch"]))]
     cut = np.flatnonzero(found["ch"][1:] != found["ch"][:-1]) + 1
     groups = [g for g in np.split(found, cut) if len(g)]
@@ -324,26 +349,26 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
 
     ``starts`` and ``ends`` bound the removed byte runs, ``kept`` has the bytes left.
     """
-    rows = texts(docs).withColumn("doc", F.xxhash64("doc_id", "text"))
+    rows = texts(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "of": F.xxhash64("text", "doc_id")})
     found = materialize(_anchor_rows(rows, length, anchor), "substring-all")
     several = found.groupBy("ah").agg(F.count("*").alias("times")).where("times > 1").select("ah")
     listed = materialize(found.join(materialize(several, "substring-anchors"), "ah"), "substring-contexts")
-    distinct = listed.groupBy("ah", "ch").agg(F.count("*").alias("times"), F.min(F.struct("doc", "lo", "n")).alias("one"))
+    distinct = listed.groupBy("ah", "ch").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "lo", "n")).alias("one"))
     distinct = materialize(distinct.select("ah", "ch", "times", "one.*"), "substring-distinct")
     total = distinct.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     crowded = distinct.groupBy("ah").agg(F.count("*").alias("members"), F.sum("n").alias("windows")).where(F.col("members") > hot)
-    # of a hot anchor: the shards that its contexts are dealt over, and the ranges that its windows are merged in
+    # of such an anchor: the shards that its contexts are dealt over, and the parts that its windows are merged in
     dealt = distinct.join(materialize(crowded, "substring-hot"), "ah", "left")
     salt = F.coalesce(F.pmod("ch", F.ceil(F.col("members") / F.lit(hot))), F.lit(0))
-    ranges = F.coalesce(F.ceil(F.col("windows") / F.lit(RANGE_WINDOWS)), F.lit(0)).cast("int")
+    parts = F.coalesce(F.ceil(F.col("windows") / F.lit(PART_WINDOWS)), F.lit(0)).cast("int")
     shard = F.pmod(F.xxhash64("ah", salt), F.lit(shards))
-    wanted = dealt.select("doc", F.struct(shard.alias("shard"), "ah", "ch", "times", ranges.alias("hot"), "lo", "n").alias("w"))
-    wanted = wanted.groupBy("doc").agg(F.collect_list("w").alias("wanted"))
-    cut = _cut_contexts(_compressed(rows, ["doc"]).join(wanted, "doc"), length)
+    wanted = dealt.select(*KEY, F.struct(shard.alias("shard"), "ah", "ch", "times", parts.alias("hot"), "lo", "n").alias("w"))
+    wanted = wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
+    cut = _cut_contexts(_compressed(rows, [*KEY]).join(wanted, [*KEY]).dropDuplicates([*KEY]), length)
     searched = materialize(cut.groupBy("shard").applyInArrow(lambda t: _search_shard(t, length), _FOUND), "substring-found")
     local = searched.where("part < 0").select("ah", "ch", "spans")
-    merged = searched.where("part >= 0").groupBy("ah", "part").applyInArrow(_merge_range, "ah long, ch long, spans array<int>")
-    repeated = listed.select("ah", "ch", "doc", "lo").join(local.unionByName(merged), ["ah", "ch"])
-    of_doc = repeated.groupBy("doc").agg(F.collect_list(F.struct("lo", "spans")).alias("found"))
-    return _removed(_compressed(rows, ["doc", "doc_id"]).join(of_doc, "doc", "left"), length)
+    merged = searched.where("part >= 0").groupBy("ah", "part").applyInArrow(lambda t: _merge_runs(t, length), "ah long, ch long, spans array<int>")
+    repeated = listed.select("ah", "ch", *KEY, "lo").join(local.unionByName(merged), ["ah", "ch"])
+    of_doc = repeated.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "spans")).alias("found"))
+    return _removed(_compressed(rows, [*KEY, "doc_id"]).join(of_doc, [*KEY], "left"), length)

@@ -78,6 +78,40 @@ def test_substrings_odd(docs, odd):
     assert substring_dedup.dedup_substrings(docs([])).count() == 0
 
 
+def test_repeated_rows_are_searched_once(docs, monkeypatch):
+    """Rows of one doc_id and text, many of them, beside the same text under other ids."""
+    rng = np.random.default_rng(12)
+    text = "".join(rng.choice(list("abcdefgh\x00"), 4000))
+    rows = [(1, text)] * 1000 + [(2, text[:300] + "other" * 60), (3, "".join(rng.choice(list("xyz"), 500)))] + [(None, text[1000:1500])] * 3
+    cuts = []
+    monkeypatch.setattr(substring_dedup, "_cut_contexts", lambda found, length, cut=substring_dedup._cut_contexts: cuts.append(found.count()) or cut(found, length))
+    got = substring_dedup.dedup_substrings(docs(rows), hot=1).collect()
+    want = dict(zip([r for r in rows], cut_by_count([t for _, t in rows], 200)))
+    assert len(got) == len(rows) and cuts[0] <= 4
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == {(i, *x) for (i, _), x in want.items()}
+
+
+def test_runs_merge_by_binary_search():
+    """Windows with zero bytes at their ends stay apart; merged runs are in order."""
+    rng = np.random.default_rng(13)
+    make = lambda n: np.unique(np.frombuffer(rng.choice(np.frombuffer(b"\x00\x01\xff", np.uint8), n * 4).tobytes(), "S4"))
+    for n in (1, 5, 60):
+        x, y = make(n), make(n)
+        tag = lambda r, k: np.array([(k, i, 0) for i in range(len(r))], substring_dedup._MEMBER)
+        windows, members = substring_dedup.merge_sorted((x, tag(x, 0)), (y, tag(y, 1)))
+        flat = lambda r: [bytes(v).ljust(4, b"\x00") for v in r]
+        assert flat(windows) == sorted(flat(x) + flat(y))
+        assert all((x, y)[m["ch"]][m["w"]] == w for w, m in zip(windows, members))
+
+
+def test_context_hashes_of_regular_texts():
+    """Thue-Morse words and their complements, on which polynomials in the bytes agree."""
+    word = bytes(97 + (i.bit_count() & 1) for i in range(4096))
+    both = np.frombuffer(word + word.translate(bytes.maketrans(b"ab", b"ba")), np.uint8)
+    spans = substring_dedup.Spans(both)
+    assert len(set(spans.of(np.array([0, 4096]), np.array([2048, 6144])).tolist())) == 2
+
+
 def test_long_texts_are_cut_into_segments(docs, monkeypatch):
     rng = np.random.default_rng(8)
     long_one = "".join(rng.choice(list("abcdefgh"), 9000))
