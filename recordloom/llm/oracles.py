@@ -2,7 +2,7 @@
 
 from recordloom.llm.license_texts import NOTICES, STATEMENTS, license_of
 from recordloom.llm.licenses import COMMENT, LEAST_TERMS, PARAGRAPHS, TERM, THRESHOLD
-from recordloom.llm.sentence_dedup import MIN_WORDS
+from recordloom.llm.sentence_dedup import LEAST, MIN_WORDS
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -45,33 +45,32 @@ FROM d LEFT JOIN sums USING (doc_id)
 """
 
 
-def _repeats(units: str, same: str, width: int, short: str, separator: str) -> str:
-    """First occurrences stay, whatever later runs of units cover goes."""
-    run = "array_to_string(s[i : i + n - 1], chr(10))"
+def _repeats(units: str, same: str, ends: str, counts: str, separator: str) -> str:
+    """First occurrences stay, whatever later runs of units cover goes. A run from unit i on has the units to ``ends``, if ``counts``."""
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {units} AS u FROM documents),
 e AS (SELECT doc_id, text, u, {same} AS s FROM d),
-w AS (
-  SELECT * FROM (
-    SELECT doc_id, text, i, n, {run} AS r
-    FROM (SELECT doc_id, text, s, n, unnest(range(1, len(s) - n + 2)) AS i FROM e, (SELECT unnest(range(1, {width} + 1)) AS n) k WHERE len(s) >= n) t) t
-  WHERE (n = {width} AND length(trim(r, ' ' || chr(9) || chr(10) || chr(13))) > 0) OR (n < {width} AND {short})),
-o AS (SELECT *, row_number() OVER (PARTITION BY n, r ORDER BY doc_id, i) AS k FROM w),
-c AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM o WHERE k > 1),
+c AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_extract_all(x, '[^ \\t\\r\\n\\x0B\\x0C]+'))) AS words FROM e),
+starts AS (SELECT doc_id, s, words, unnest(range(1, len(s) + 1)) AS i FROM c),
+ended AS (SELECT doc_id, i, s, {ends} AS j FROM starts),
+w AS (SELECT doc_id, i, j - i + 1 AS n, array_to_string(s[i : j], chr(10)) AS r FROM ended WHERE j <= len(s)),
+o AS (SELECT *, row_number() OVER (PARTITION BY n, r ORDER BY doc_id, i) AS k FROM w WHERE {counts}),
+hit AS (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM o WHERE k > 1),
 p AS (SELECT doc_id, u, unnest(range(1, len(u) + 1)) AS j FROM d),
-kept AS (SELECT p.doc_id, string_agg(u[j], {separator} ORDER BY j) AS t FROM p WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = p.doc_id AND c.j = p.j) GROUP BY p.doc_id),
-gone AS (SELECT doc_id, count(*) AS n FROM c GROUP BY doc_id)
+kept AS (SELECT p.doc_id, string_agg(u[j], {separator} ORDER BY j) AS t FROM p WHERE NOT EXISTS (SELECT 1 FROM hit WHERE hit.doc_id = p.doc_id AND hit.j = p.j) GROUP BY p.doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(u) AS BIGINT) AS n_units, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = d.doc_id
 """
 
 
-OP10 = _repeats("string_split(coalesce(text, ''), chr(10))", "u", 3, "false", "chr(10)")
+OP10 = _repeats("string_split(coalesce(text, ''), chr(10))", "u", "i + 2", "length(trim(r, ' ' || chr(9) || chr(10) || chr(13))) > 0", "chr(10)")
 OP8 = _repeats(
     r"regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!? \t\r\n]*|[.!?\n]+[ \t\r\n]*')",
     "list_transform(u, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13)))",
-    3,
-    f"length(r) - length(translate(r, ' ' || chr(10), '')) >= {MIN_WORDS - 1}",
+    # the first k units from i on that hold enough words; one past the end where there are none
+    f"coalesce(list_position(list_transform(range({LEAST}, len(s) - i + 2), lambda k: list_sum(words[i : i + k - 1]) >= {MIN_WORDS}), true) + i + {LEAST} - 2, len(s) + 1)",
+    "true",
     "''",
 )
 

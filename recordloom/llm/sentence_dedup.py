@@ -1,23 +1,26 @@
 """Substring dedup by sliding spans of sentences.
 
 A sentence runs to its closing marks (``.``, ``!``, ``?``) or line end, with the
-blanks after them; a text's sentences joined are the text. Every run of three
-consecutive sentences is hashed, and so is a shorter run that holds at least
-``MIN_WORDS`` words, so that a long passage counts however it is punctuated. Hashes
-meet globally, and every sentence inside a run that is not its first occurrence, in
-(doc_id, text, position) order, is removed. Sentences are compared without the
-blanks around them.
-
-Defined cases: a null text is empty; a text of one or two short sentences has no
-run and stays; runs of blanks only don't count; rows of equal doc_id and text are
-one document; a null doc_id comes before all others; further columns pass through
+blanks after them; a text's sentences joined are the text. From every sentence on a
+run is hashed: the fewest consecutive sentences, ``LEAST`` of them at least, that hold
+``MIN_WORDS`` words. So a run is of several sentences always, and of as many as it takes
+to tell a passage from a chance agreement of short lines. Hashes meet globally, and
+every sentence inside a run that is not its first occurrence, in (doc_id, text,
+position) order, is removed. Sentences are compared without the blanks around them.
+
+A passage that holds no two whole sentences, or too few words in them, has no run.
+
+Defined cases: a null text is empty; a text of one sentence or of fewer words has no
+run and stays; rows of equal doc_id and text are one document; a null doc_id comes before all others; further columns pass through
 untouched, but for those named like the results, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,7 @@ from pyspark.sql import types as T
 from recordloom.llm.common import pieces
 from recordloom.llm.repeats import KEPT, KEY, N_REMOVED, N_UNITS, covered_units, keyed, with_covered, with_results
 
-WIDTH, MIN_WORDS = 3, 25
+LEAST, MIN_WORDS = 2, 16
 BATCH_BYTES = 2 << 20
 #: A fixed pattern that the SQL check shares.
 SENTENCE = r"[^.!?\n]+[.!? \t\r\n]*|[.!?\n]+[ \t\r\n]*"
@@ -35,25 +38,27 @@ _sentences = re.compile(SENTENCE.encode()).findall
 _BLANK = b" \t\r\n"
 
 
-def runs_of(text: bytes, width: int, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(first sentence, number of sentences, text) of each run that counts."""
+def runs_of(text: bytes, least: int, min_words: int) -> list[tuple[int, int, bytes]]:
+    """(first sentence, number of sentences, what is hashed) of each run."""
     units = [s.strip(_BLANK) for s in _sentences(text)]
-    out = [(i, width, t) for i in range(len(units) - width + 1) if (t := b"\n".join(units[i : i + width])).strip(_BLANK)]
-    blanks = [s.count(b" ") + s.count(b"\n") for s in units]
-    for n in range(1, width):
-        # one blank fewer than words in a sentence; sentences are joined by one more
-        out += [(i, n, b"\n".join(units[i : i + n])) for i in range(len(units) - n + 1) if sum(blanks[i : i + n]) + n >= min_words]
+    words = [0, *accumulate(len(s.split()) for s in units)]
+    out = []
+    for i in range(len(units) - least + 1):
+        j = max(i + least, bisect_left(words, words[i] + min_words))
+        if j > len(units):
+            break
+        out.append((i, j - i, b"%d\n%s" % (j - i, b"\n".join(units[i:j]))))
     return out
 
 
-def span_runs(docs: DataFrame, width: int, min_words: int) -> DataFrame:
+def span_runs(docs: DataFrame, least: int, min_words: int) -> DataFrame:
     """(doc_id, text_hash, at, n, h, g) of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         for batch in pieces(batches, "text", BATCH_BYTES):
-            found = [runs_of(t, width, min_words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            found = [runs_of(t, least, min_words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             owner = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in found]))
             flat = [r for own in found for r in own]
             hashes = np.frombuffer(b"".join([xxh3_128_digest(t) for _, _, t in flat]), [("h", "<i8"), ("g", "<i4"), ("_", "<i4")])
@@ -71,9 +76,9 @@ def span_runs(docs: DataFrame, width: int, min_words: int) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, text_hash long, at int, n int, h long, g int")
 
 
-def dedup_sentences(docs: DataFrame, width: int = WIDTH, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_sentences(docs: DataFrame, least: int = LEAST, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with n_units (sentences), n_removed and kept_text added."""
-    rows = with_covered(docs, covered_units(span_runs(docs, width, min_words)))
+    rows = with_covered(docs, covered_units(span_runs(docs, least, min_words)))
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField(N_UNITS, T.LongType()), T.StructField(N_REMOVED, T.LongType()), T.StructField(KEPT, T.StringType())])
 

@@ -138,12 +138,13 @@ def cut_later_runs(rows, units_of, same_of, width, min_words, joiner):
     places = []
     for key in sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, xxhash_spark(r[1]))):
         same = [same_of(u) for u in units_of(key[1])]
-        for n in range(1, width + 1):
-            for at in range(len(same) - n + 1):
-                run = "\n".join(same[at : at + n])
-                words = len(re.findall(r"[ \n]", run)) + 1
-                if (run.strip(" \t\r\n") if n == width else min_words and words >= min_words):
-                    places.append((key, at, n, run))
+        for at in range(len(same)):
+            n = width
+            while min_words and at + n < len(same) and sum(len(u.split()) for u in same[at : at + n]) < min_words:
+                n += 1
+            run = "\n".join(same[at : at + n])
+            if at + n <= len(same) and (len(run.split()) >= min_words if min_words else run.strip(" \t\r\n")):
+                places.append((key, at, n, run))
     copies = collections.Counter((i, t or "") for i, t in rows)
     for key, at, n, run in places:
         first.setdefault((n, run), (key, at))
@@ -186,16 +187,19 @@ def test_rewrite_keeps_columns_and_drops_only_emptied(docs):
 
 
 def test_sentences(docs):
-    long_one = "this single sentence goes on " * 9 + "to its end."
+    long_one = "This single sentence goes on " * 5 + "to its end."
+    passage = "One sentence of five words. Two there! Then a third one with eight words in it? And one more to make sixteen."
     rows = [
-        (1, "One here. Two there! Three now? Four."), (2, "Zero. One here.  Two there! Three now? Five."), (3, "One here. Two there!"), (4, "One here. Two there!"),
-        (5, f"Before it. {long_one} After it."), (6, f"{long_one}\nElse."), (7, None), (8, ""), (9, "no end"), (10, "... !!!\n??"), (1, "One here. Two there! Three now? Four."), (None, "Two there! Three now? Five."),
+        (1, f"{passage} Four."), (2, f"Zero. {passage.replace('. ', '.  ')} Five. Six."), (3, "One here. Two there!"), (4, "One here. Two there!"), (5, f"Before it. {long_one} After it."),
+        (6, f"{long_one}\nElse."), (7, None), (8, ""), (9, "no end"), (10, "... !!!\n??"), (1, f"{passage} Four."), (None, f"{passage} Five."), (11, "a\nb\nc\nd\n" * 8), (12, "a\nb\nc\nd\n" * 3),
+        (13, f"Half a {passage}"), (14, f"{long_one} After it. {long_one}"), (15, "word " * 30_000 + "end. " + passage), (16, "x. " * 9000),
     ]
     pattern = re.compile(sentence_dedup.SENTENCE)
-    want = cut_later_runs(rows, pattern.findall, lambda s: s.strip(" \t\r\n"), 3, sentence_dedup.MIN_WORDS, "")
+    want = cut_later_runs(rows, pattern.findall, lambda s: s.strip(" \t\r\n"), sentence_dedup.LEAST, sentence_dedup.MIN_WORDS, "")
     got = sentence_dedup.dedup_sentences(docs(rows)).collect()
     assert len(got) == len(rows) and all(r.kept_text == want[r.doc_id, r.text or ""] for r in got)
-    assert {r.doc_id: r.kept_text for r in got}[6] == "Else."
+    kept = {r.doc_id: r.kept_text for r in got}
+    assert kept[2] == "Zero. Six." and kept[3] == kept[4] == rows[2][1] and kept[6] == rows[5][1] and kept[13].startswith("Half a One") and kept[15].endswith("end. ")
     assert all("".join(pattern.findall(t)) == t for _, t in rows if t)
     assert sentence_dedup.dedup_sentences(docs([])).count() == 0
 
