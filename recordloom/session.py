@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -13,6 +14,7 @@ from pyspark.sql import SparkSession
 
 _ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
+_made: dict[str, None] = {}
 
 
 def session(name: str = "recordloom", **conf: str) -> SparkSession:
@@ -56,5 +58,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A path for one written table or file set, below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A path for one written table or file set, below the shared folder; deleted by ``release`` or when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_release_at_exit, spark)
+    _made[path] = None
+    return path
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders that ``new_folder`` gave; nothing that is still to be computed may read them."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        _made.pop(path, None)
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def made_folders() -> list[str]:
+    """The folders given so far and not released, oldest first."""
+    return list(_made)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    """What is left goes; a cluster that is gone already keeps its files."""
+    with contextlib.suppress(Exception):
+        release(spark, made_folders())
