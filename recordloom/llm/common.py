@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterable, Iterator
 from itertools import filterfalse, islice
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.session import new_folder
+from recordloom.session import new_folder, release
 
 
 #: Strings whose ids a worker keeps, beside those of the batch at hand; longer ones are not kept.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 40
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
 
 
 class Known[K: (str, bytes)](dict[K, bytes]):
@@ -51,10 +52,21 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage."""
+    """Write ``df`` to the shared folder and read it back, which cuts lineage. ``discard`` deletes it."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    _path_of[written] = path
+    return written
+
+
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize``, once all that reads them is written itself."""
+    for df in written:
+        release(df.sparkSession, [_path_of.pop(df)])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -9,10 +9,11 @@ original text.
 
 The patterns are the only data that every worker holds. They go out in blocks of
 at most ``block_chars`` characters; a benchmark within one block (a few million
-characters) needs one pass, a larger one a pass a block, and no automaton grows
-with the benchmark.
+characters) needs one pass, a larger one a pass a block. Neither an automaton nor
+what the driver holds at a time grows with the benchmark.
 
-Defined cases: a null text has no words; an item without words has no window; a
+Defined cases: a null text has no words; an item without words has no window; item ids
+of any type are taken as strings and a null one as the empty string; a
 window in several items counts for each; repeated rows of documents give repeated
 results and repeated benchmark rows change nothing; an empty benchmark hits
 nothing; further columns are dropped (``contaminated_spans``) or kept
@@ -27,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ BATCH_BYTES = 4 << 20
 _KEPT = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 _TABLE = bytes(b if b in set(_KEPT) else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
-HITS = "array<struct<first:int,last:int,start:int,end:int,items:array<bigint>>>"
+HITS = "array<struct<first:int,last:int,start:int,end:int,items:array<string>>>"
 
 
 def windows(text: str, width: int = WINDOW) -> set[str]:
@@ -54,7 +56,7 @@ def windows(text: str, width: int = WINDOW) -> set[str]:
 class Scanner:
     """The automaton over one block of (window, items)."""
 
-    def __init__(self, patterns: list[tuple[str, list[int]]]) -> None:
+    def __init__(self, patterns: list[tuple[str, list[str]]]) -> None:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
@@ -95,7 +97,7 @@ class Scanner:
 _made: dict[str, Scanner] = {}
 
 
-def _scanner(digest: str, patterns: list[tuple[str, list[int]]]) -> Scanner:
+def _scanner(digest: str, patterns: list[tuple[str, list[str]]]) -> Scanner:
     """One automaton per worker, kept between tasks."""
     if digest not in _made:
         _made.clear()
@@ -103,19 +105,20 @@ def _scanner(digest: str, patterns: list[tuple[str, list[int]]]) -> Scanner:
     return _made[digest]
 
 
-def _blocks(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[list[tuple[str, list[int]]]]:
+def _blocks(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[list[tuple[str, list[str]]]]:
     """Blocks of (window, items), each of about ``block_chars`` characters, collected one at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = sorted(windows(text, width))
-                yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.int64()), pa.array(own, pa.string())], ["item_id", "window"])
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(own), pa.string()), pa.array(own, pa.string())], ["item_id", "window"])
 
-    items = texts(benchmark, "item_id").where(F.col("doc_id").isNotNull())
-    made = items.mapInArrow(run, "item_id long, window string").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    made = items.mapInArrow(run, "item_id string, window string").groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     total = made.agg(F.sum(F.length("window") + 8 * F.size("items"))).first()[0] or 0
     n = max(1, -(-int(total) // block_chars))
+    made = materialize(made, "decontaminate-windows") if n > 1 else made
     for k in range(n):
         own = made if n == 1 else made.where(F.pmod(F.xxhash64("window"), F.lit(n)) == k)
         yield sorted((r["window"], list(r["items"])) for r in own.collect())
@@ -128,14 +131,17 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, width: int = WINDO
     the original text, and the ids of the items whose windows occur there.
     ``benchmark`` is (item_id, text).
     """
-    schema = f"doc_id long, text string, n_words long, hits {HITS}"
-    found = texts(docs).withColumn("hits", F.array().cast(HITS))
+    found, before = texts(docs).withColumn("hits", F.array().cast(HITS)), None
     for k, block in enumerate(_blocks(benchmark, width, block_chars)):
-        found = _scan(found if k == 0 else materialize(found.drop("n_words"), "decontaminate"), block, schema)
+        if k:
+            found = materialize(found.drop("n_words"), "decontaminate")
+            before.destroy()  # what it was used for is written
+        found, before = _scan(found, block)
     return found
 
 
-def _scan(docs: DataFrame, block: list[tuple[str, list[int]]], schema: str) -> DataFrame:
+def _scan(docs: DataFrame, block: list[tuple[str, list[str]]]) -> tuple[DataFrame, Broadcast]:
+    schema = f"doc_id long, text string, n_words long, hits {HITS}"
     digest = hashlib.sha256(repr(block).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -149,13 +155,13 @@ def _scan(docs: DataFrame, block: list[tuple[str, list[int]]], schema: str) -> D
                 ["doc_id", "text", "n_words", "hits"],
             )
 
-    return docs.select("doc_id", "text", "hits").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "hits").mapInArrow(run, schema), shared
 
 
 @lru_cache(maxsize=1)
 def _hits_type() -> pa.DataType:
     ints = [pa.field(k, pa.int32()) for k in ("first", "last", "start", "end")]
-    return pa.list_(pa.struct([*ints, pa.field("items", pa.list_(pa.int64()))]))
+    return pa.list_(pa.struct([*ints, pa.field("items", pa.list_(pa.string()))]))
 
 
 def n_hit(hits: Column) -> Column:
@@ -170,17 +176,19 @@ def items_of(hits: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(hits, lambda h: h["items"])))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the documents in which a window occurs; all columns stay.
 
     The scan's input is the document row itself, so a document is judged on its
     own text even where doc_ids repeat.
     """
-    blocks = list(_blocks(benchmark, width, BLOCK_CHARS))
-    schema, names = docs.schema, docs.columns
-    for block in blocks:
+    schema, names, before = docs.schema, docs.columns, None
+    for k, block in enumerate(_blocks(benchmark, width, block_chars)):
+        if k:
+            docs = materialize(docs, "decontaminate")
+            before.destroy()  # what it was used for is written
         digest = hashlib.sha256(repr(block).encode()).hexdigest()
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = before = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], digest=digest, shared=shared) -> Iterator[pa.RecordBatch]:
             scanner = _scanner(digest, shared.value)

@@ -30,8 +30,10 @@ from recordloom.llm.shingles import mix, shingles
 
 WIDTH, BINS, BITS = 5, 512, 4
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 2000
-#: Documents of one range of the ordered pass, at most and, where there are few partitions' worth, at least.
-DOCS_PER_RANGE, LEAST_DOCS = 4096, 256
+#: Documents of one range of the ordered pass, on average up to ``MOST_RANGES`` of them (rows are
+#: sorted with spilling and read as a stream, so a range may be large) and, where there are few
+#: partitions' worth, at least. Ids sampled for each range's bound.
+DOCS_PER_RANGE, LEAST_DOCS, MOST_RANGES, SAMPLED = 4096, 256, 10_000, 200
 
 
 @lru_cache(maxsize=64)
@@ -94,15 +96,15 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def _longs(values: list[int]) -> Column:
-    return F.array(*map(F.lit, values)).cast("array<bigint>")
+    """An array literal, folded from one string."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _range_of(value: Column, bounds: list[int]) -> Column:
     """The index of the last of the ascending ``bounds`` that is at most ``value``; two levels, so few comparisons a row."""
     step = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    block = F.size(F.filter(_longs([x[0] for x in blocks]), lambda x: x <= value)) - 1
-    inner = F.get(F.array(*map(_longs, blocks)), block)
+    block = F.size(F.filter(_longs(bounds[::step]), lambda x: x <= value)) - 1
+    inner = F.slice(_longs(bounds), block * step + 1, F.lit(step))
     return (block * step + F.size(F.filter(inner, lambda x: x <= value)) - 1).cast("int")
 
 
@@ -115,10 +117,12 @@ def _with_successors(docs: DataFrame, docs_per_range: int) -> tuple[DataFrame, i
     rows = texts(docs)
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     n = rows.select("doc_id").count()
-    wanted = max(1, min(partitions(docs.sparkSession), n // LEAST_DOCS), -(-n // docs_per_range))
-    shares, accuracy = [k / wanted for k in range(wanted)], max(10_000, 20 * wanted)
-    least, cuts = rows.select(F.min(key), F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(accuracy))).first()
-    bounds = sorted({least, *cuts}) if n else [0]
+    wanted = min(MOST_RANGES, max(1, min(partitions(docs.sparkSession), n // LEAST_DOCS), -(-n // docs_per_range)))
+    shares = F.split(F.lit(",".join(str(k / wanted) for k in range(wanted))), ",").cast("array<double>")
+    # a sample only sets where ranges begin: at ids that are there
+    sampled = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (SAMPLED * wanted)))) == 0, key)
+    least, cuts = rows.select(F.min(key), F.percentile_approx(sampled, shares, F.lit(max(10_000, 20 * wanted)))).first()
+    bounds = sorted({least, *(cuts or [])}) if n else [0]
     own = _range_of(key, bounds)
     begins = F.get(_longs(bounds), F.col("own")) == key
     at = lambda r, follows: F.struct(r.alias("range"), F.lit(follows).alias("follows"))

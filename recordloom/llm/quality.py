@@ -11,14 +11,15 @@ case, punctuation and digits. A bucket counts from ``MIN_DOCS`` sampled document
 on.
 
 The model is fitted on the driver from at most ``sample_rows`` rated documents,
-chosen by a hash of doc_id; the driver holds their feature numbers, not their
-texts. Scoring covers every row.
+chosen by a hash of doc_id; one of over ``SAMPLE_BUCKETS`` buckets is left out. The
+driver holds their feature numbers, not their texts. Scoring covers every row.
 
 Defined cases: a null text is empty and has shape tokens only; rated ids without a
-document, null grades and null ids don't count; without two different grades there
+document, null grades and null ids don't count; of rows with a rated doc_id the one whose
+text has the least hash counts; without two different grades there
 is no model, every document gets the grade found (or null) and is kept; repeated
-rows get equal scores; further columns pass through ``select`` untouched, whatever
-their names.
+rows get equal scores; further columns pass through ``select`` untouched, but that the names
+``__rl_expected`` and ``__rl_tail`` are taken.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from recordloom.llm.common import pieces, texts
 from recordloom.llm.shingles import mix, word_spans
 
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS, SAMPLE_BUCKETS = 16_000, 4096
 BUCKETS, PREFIX, MIN_DOCS = 1 << 20, 4, 8
 SHAPES, SHAPE_WEIGHT, IDF_SCALE = 100, 3.0, 2.0
 PENALTY, STEPS = 3e-5, 200
@@ -175,17 +176,19 @@ def fit(docs: DataFrame, ratings: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """The model for ``ratings`` (doc_id, grade) of ``docs``; the list of grades where there are fewer than two."""
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")).dropna()
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample_rows)
-    wanted = texts(docs).join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows
+    met = texts(docs).join(F.broadcast(chosen), "doc_id")  # at most sample_rows rows
+    wanted = met.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", BATCH_BYTES, BATCH_ROWS):
             values = batch.column("text").cast(pa.binary()).to_pylist()
             row, bucket, shape = features(values)
             cut = np.split(bucket.astype("<u4"), np.searchsorted(row, np.arange(1, len(values))))
-            yield pa.RecordBatch.from_arrays(
+            made = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("grade"), pa.array([x.tobytes() for x in cut], pa.binary()), pa.array([x.astype(np.uint8).tobytes() for x in shape], pa.binary())],
                 ["doc_id", "grade", "buckets", "shape"],
             )
+            yield made.filter(pa.array([len(x) <= SAMPLE_BUCKETS for x in cut]))
 
     sample = wanted.mapInArrow(run, "doc_id long, grade int, buckets binary, shape binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("shape", "ascending")])
     grades = np.array(sample.column("grade").to_pylist(), np.int64)

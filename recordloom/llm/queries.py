@@ -31,7 +31,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words",
         hit.alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort(items.cast("array<string>"))), 256).alias("items_sha256"),
+        F.sha2(F.concat_ws(",", F.array_sort(items)), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
 

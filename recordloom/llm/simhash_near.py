@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import give_back, materialize, pieces
+from recordloom.llm.common import discard, give_back, materialize, pieces
 from recordloom.llm.graph import components
 from recordloom.llm.repeats import KEY, keyed
 from recordloom.llm.shingles import mix, shingles
@@ -207,13 +207,15 @@ def links(signed: DataFrame, docs: DataFrame, turns: int = TURNS, file_limit: in
     sets = materialize(_members(docs, chosen.select("k.*", "s")), "simhash-sets")
     found, roots = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
     for turn in range(turns + 1):
-        filed = materialize(_classed(filed, roots), "simhash-mixed")
+        before, filed = filed, materialize(_classed(filed.drop("c"), roots), "simhash-mixed")
+        discard(before)
         if filed.isEmpty():
             break
         pairs = materialize(_sliced(filed, turn, file_limit) if turn < turns else _by_rarest(filed, sets), "simhash-pairs")
         found = materialize(found.unionByName(_alike(pairs, sets)), "simhash-links")
         roots = components(found, "simhash-components")
-        filed = filed.drop("c")
+        discard(pairs)
+    discard(filed, sets)
     return roots
 
 

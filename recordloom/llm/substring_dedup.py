@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import materialize, pieces, texts
+from recordloom.llm.common import discard, materialize, pieces, texts
 from recordloom.llm.shingles import mix
 from recordloom.llm.suffix_array import common_prefixes, suffix_array
 
@@ -352,14 +352,17 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     rows = texts(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "of": F.xxhash64("text", "doc_id")})
     found = materialize(_anchor_rows(rows, length, anchor), "substring-all")
     several = found.groupBy("ah").agg(F.count("*").alias("times")).where("times > 1").select("ah")
-    listed = materialize(found.join(materialize(several, "substring-anchors"), "ah"), "substring-contexts")
+    several = materialize(several, "substring-anchors")
+    listed = materialize(found.join(several, "ah"), "substring-contexts")
+    discard(found, several)
     distinct = listed.groupBy("ah", "ch").agg(F.count("*").alias("times"), F.min(F.struct(*KEY, "lo", "n")).alias("one"))
     distinct = materialize(distinct.select("ah", "ch", "times", "one.*"), "substring-distinct")
     total = distinct.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_bytes))
     crowded = distinct.groupBy("ah").agg(F.count("*").alias("members"), F.sum("n").alias("windows")).where(F.col("members") > hot)
     # of such an anchor: the shards that its contexts are dealt over, and the parts that its windows are merged in
-    dealt = distinct.join(materialize(crowded, "substring-hot"), "ah", "left")
+    crowded = materialize(crowded, "substring-hot")
+    dealt = distinct.join(crowded, "ah", "left")
     salt = F.coalesce(F.pmod("ch", F.ceil(F.col("members") / F.lit(hot))), F.lit(0))
     parts = F.coalesce(F.ceil(F.col("windows") / F.lit(PART_WINDOWS)), F.lit(0)).cast("int")
     shard = F.pmod(F.xxhash64("ah", salt), F.lit(shards))
@@ -367,6 +370,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR
     wanted = wanted.groupBy(*KEY).agg(F.collect_list("w").alias("wanted"))
     cut = _cut_contexts(_compressed(rows, [*KEY]).join(wanted, [*KEY]).dropDuplicates([*KEY]), length)
     searched = materialize(cut.groupBy("shard").applyInArrow(lambda t: _search_shard(t, length), _FOUND), "substring-found")
+    discard(distinct, crowded)
     local = searched.where("part < 0").select("ah", "ch", "spans")
     merged = searched.where("part >= 0").groupBy("ah", "part").applyInArrow(lambda t: _merge_runs(t, length), "ah long, ch long, spans array<int>")
     repeated = listed.select("ah", "ch", *KEY, "lo").join(local.unionByName(merged), ["ah", "ch"])

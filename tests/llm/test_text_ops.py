@@ -43,13 +43,17 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block_chars", [4_000_000, 60])
-def test_hits_by_force(spark, docs, block_chars):
-    got = decontaminate.contaminated_spans(docs(TEXTS), spark_items(spark, ITEMS), block_chars=block_chars)
+@pytest.mark.parametrize("block_chars, named", [(4_000_000, False), (60, False), (60, True)])
+def test_hits_by_force(spark, docs, block_chars, named):
+    """In one block and in many; item ids as numbers and as strings, a null one among them."""
+    items = [(str(i) if i is not None else "", t) for i, t in [*ITEMS, (None, "hereafter")]]
+    frame = spark.createDataFrame([(f"q-{i}" if i else None, t) for i, t in items], "item_id string, text string") if named else spark_items(spark, [*ITEMS, (None, "hereafter")])
+    items = [(f"q-{i}" if i and named else i, t) for i, t in items]
+    got = decontaminate.contaminated_spans(docs(TEXTS), frame, block_chars=block_chars)
     rows = got.select("doc_id", "text", "n_words", "hits", decontaminate.n_hit(F.col("hits")).alias("n"), decontaminate.items_of(F.col("hits")).alias("items")).collect()
     assert len(rows) == len(TEXTS)
     for r in rows:
-        n_words, hit, found = hits_by_force(r.text, ITEMS)
+        n_words, hit, found = hits_by_force(r.text, items)
         assert (r.n_words, r.n, sorted(r["items"])) == (n_words, len(hit), found)
         covered = {k for h in r.hits for k in range(h.first, h.last + 1)}
         assert covered == set(hit)
@@ -62,6 +66,8 @@ def test_drop_contaminated_keeps_columns(spark, docs):
     kept = decontaminate.drop_contaminated(frame, spark_items(spark, ITEMS))
     assert kept.schema == frame.schema
     assert sorted(r.doc_id for r in kept.collect()) == [i for i, t in TEXTS if not hits_by_force(t, ITEMS)[1]]
+    many = decontaminate.drop_contaminated(frame, spark_items(spark, ITEMS), block_chars=60)
+    assert many.schema == frame.schema and sorted(r.doc_id for r in many.collect()) == sorted(r.doc_id for r in kept.collect())
     none = spark_items(spark, [])
     assert decontaminate.drop_contaminated(frame, none).count() == len(TEXTS)
     assert decontaminate.contaminated_spans(docs([]), spark_items(spark, ITEMS)).count() == 0
@@ -123,6 +129,37 @@ def test_fingerprints_odd(docs, odd, per_range):
     assert alone.edited_sha256 == hashlib.sha256(b"ab ab").hexdigest() and alone.near_next == 1.0
 
 
+def test_bins_by_force():
+    """One shingle at a time: the least hash of each bin, then the first filled bin in each empty one's order."""
+    texts = [b"", b"one", b"a b c d e f g", " ".join(f"w{k % 700}" for k in range(900)).encode()]
+    low, filled = fingerprints.bins(texts)
+    hashes, at = shingles.shingles(texts, fingerprints.WIDTH)
+    shift, full = 64 - 9, (1 << 64) - 1
+    assert fingerprints.BINS == 512
+    for k, (a, b) in enumerate(zip(at, at[1:])):
+        least = {}
+        for h in map(int, hashes[a:b]):
+            least[h >> shift] = min(least.get(h >> shift, full), h & (1 << 48) - 1)
+        assert filled[k] == len(least)
+        for bin_ in range(512):
+            at_, t = bin_, 0
+            while least and at_ not in least:
+                at_, t = (int(fingerprints._tries(t)[bin_]), t + 1) if len(least) > 1 else (next(iter(least)), 0)
+            want = int(shingles.mix(np.array([(least[at_] + bin_ * 0x9E3779B97F4A7C15) & full], np.uint64))[0]) & 15 if least else 0
+            assert low[k, bin_] == want
+
+
+def test_many_ranges_and_a_hot_id(docs, monkeypatch):
+    """More ranges than are taken, and an id that holds most rows; successors as in one sorted list."""
+    monkeypatch.setattr(fingerprints, "MOST_RANGES", 50)
+    rows = [(i, f"text {i} of some") for i in range(0, 3000, 3)] + [(900, f"hot {i % 40}") for i in range(2000)]
+    got = fingerprints.edit_with_next(docs(rows), docs_per_range=1).collect()
+    rows = sorted(rows)
+    after = rows[1:] + rows[:1]
+    want = [(i, hashlib.sha256((t[: len(t) - len(t) // 2] + n[: len(t) // 2]).encode()).hexdigest()) for (i, t), (_, n) in zip(rows, after)]
+    assert sorted((r.doc_id, r.edited_sha256) for r in got) == sorted(want)
+
+
 # --- quality ------------------------------------------------------------------
 
 
@@ -155,15 +192,94 @@ def test_held_out_accuracy(spark, docs):
     assert kept.schema == frame.schema and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.keep}
 
 
-def test_model_has_ordered_thresholds_and_a_true_gradient():
+def scalar_features(text):
+    """One word at a time: the buckets, then the shape tokens."""
+    data = text.encode()
+    words = data.lower().split()
+    bucket = lambda w: int(shingles.mix(np.array([int.from_bytes(w[:4], "little") + 1], np.uint64))[0]) >> 44
+    found = {bucket(w) for w in words if len(w) >= 4}
+    share = lambda kind: sum(c in kind for c in data) / max(1, len(data))
+    upper, digits = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
+    signs = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+    n = len(words)
+    return found, [min(19, int(1.5 * np.log2(n + 1))), 20 + min(9, int(10 * len(found) / max(1, n))), 40 + min(9, int(20 * share(upper))), 60 + min(19, int(50 * share(signs))), 80 + min(9, int(50 * share(digits)))]
+
+
+def test_features_by_force():
+    texts = [t for t, _ in [*((x, 0) for _, x in made_corpus(60, 9)[0])]] + ["", "a b", "Ärger über 日本語 and 12 34!!", "word " * 3000]
+    assert 1 << 20 == quality.BUCKETS
+    row, bucket, shape = quality.features([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        found, own = scalar_features(t)
+        assert set(bucket[row == k].tolist()) == found and shape[k].tolist() == own
+
+
+def test_model_is_at_its_least_loss():
+    """Ordered thresholds, and a penalised likelihood, written out anew, that no small step lowers."""
     rows, labels = made_corpus(300, 2)
-    row, bucket, shape = quality.features([t.encode() for _, t in rows])
+    texts = [t.encode() for _, t in rows]
+    row, bucket, shape = quality.features(texts)
     grades = np.array([q + 1 - t for _, q, t in labels])
     own = [(bucket[row == i].astype("<u4"), shape[i].astype(np.uint8)) for i in range(len(rows))]
     model = quality.fit_rows(own, grades)
     assert model.grades == [0, 1, 2] and model.thresholds[0] <= model.thresholds[1]
-    below = model.at_most([t.encode() for _, t in rows])
+    below = model.at_most(texts)
     assert (below[:, 0] <= below[:, 1] + 1e-12).all()
+    df = np.bincount(bucket, minlength=quality.BUCKETS)
+    used = np.flatnonzero(model.column >= 0)
+    assert used.tolist() == [b for b in range(quality.BUCKETS) if quality.MIN_DOCS <= df[b] < len(rows)]
+    idf = np.log(len(rows) / df[used]) / quality.IDF_SCALE
+
+    def loss(thresholds, weight, shape_weight):
+        total = 0.0
+        for i, g in enumerate(grades):
+            s = sum(weight[model.column[b]] for b in own[i][0] if model.column[b] >= 0) + sum(shape_weight[x] for x in own[i][1])
+            cumulative = [0.0, *(1 / (1 + np.exp(s - t)) for t in thresholds), 1.0]
+            total -= np.log(cumulative[g + 1] - cumulative[g])
+        free = np.concatenate([weight / idf, shape_weight / quality.SHAPE_WEIGHT])
+        return total / len(rows) + quality.PENALTY * (free @ free)
+
+    at = loss(model.thresholds, model.weight, model.shape_weight)
+    rng = np.random.default_rng(4)
+    for k in range(12):
+        parts = [model.thresholds.copy(), model.weight.copy(), model.shape_weight.copy()]
+        which = parts[k % 3]
+        place = int(rng.integers(len(which)))
+        for step in (1e-3, -1e-3):
+            moved = which[place]
+            which[place] = moved + step
+            assert loss(*parts) > at - 2e-6
+            which[place] = moved
+
+
+def test_op4_query_by_force(spark, tables):
+    """The query's rows from the fitted model, one text at a time."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    model = quality.fit(docs, quality.graded_labels(labels))
+    got = {r.doc_id: r for r in QUERIES["op4_quality"](spark, tables).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        found, shape = scalar_features(text)
+        s = sum(model.weight[model.column[b]] for b in found if model.column[b] >= 0) + sum(model.shape_weight[x] for x in shape)
+        cumulative = [0.0, *(1 / (1 + np.exp(s - t)) for t in model.thresholds), 1.0]
+        of_each = np.diff(cumulative)
+        assert abs(got[i].p_best - of_each[model.grades.index(2)]) < 2e-6 and abs(got[i].expected_grade - of_each @ model.grades) < 2e-6
+        assert got[i].keep == (got[i].p_best >= quality.KEEP_FROM)
+
+
+def test_sample_is_bounded_by_documents(spark, docs, monkeypatch):
+    """A rated doc_id on very many rows counts once, and texts of too many buckets not at all."""
+    rows, labels = made_corpus(200, 5)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hot = docs(rows).unionByName(docs(rows[:1]).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100_000)))).drop("k"))
+    gathered = []
+    monkeypatch.setattr(quality, "fit_rows", lambda own, grades, fit=quality.fit_rows: gathered.append(len(own)) or fit(own, grades))
+    quality.fit(hot, quality.graded_labels(known))
+    monkeypatch.setattr(quality, "SAMPLE_BUCKETS", 40)
+    quality.fit(docs(rows), quality.graded_labels(known))
+    assert gathered[0] == 200 and 0 < gathered[1] < 200
 
 
 def test_quality_odd(spark, docs, odd):
@@ -355,3 +471,19 @@ def test_pipeline_stages_keep_the_columns_of_documents(spark, tables):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, tables).columns == docs.columns
         assert stage(spark, docs.limit(0), tables).count() == 0
+
+
+def test_pipeline_stages_take_odd_rows(spark, docs, odd, tables):
+    """Null ids and texts, repeated rows, a long text and clashing columns through all stages; what stages wrote on the way goes."""
+    import corpus_pipeline
+    from recordloom import session
+
+    rows = docs(odd + [(3, "\n\n\n"), (20, "long words and more of them. " * 20_000), (21, None)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, rows, tables)
+        assert kept.schema == rows.schema and {r.doc_id for r in kept.collect()} <= {r.doc_id for r in rows.collect()}
+    last = corpus_pipeline.STAGES[-1][1](spark, rows, tables)
+    assert last.count() == rows.count()
+    before = set(session.made_folders())
+    corpus_pipeline.run(spark, tables)
+    assert len(set(session.made_folders()) - before) == 1
