@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.llm import bpe, decontaminate, line_dedup, quality, simhash_near
 from recordloom.llm.common import new_folder, table
+from recordloom.session import made_folders, release
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the ``documents`` table of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for the ``documents`` table of ``sf_dir``.
+
+    When a stage's output is written, what it wrote on the way and what it read goes.
+    """
+    docs, last = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = new_folder(spark, f"pipeline-{name.replace(' ', '-')}")
+        others = set(made_folders())
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        release(spark, last + [p for p in made_folders() if p not in others])
+        docs, last = spark.read.parquet(path), [path]
     return docs
