@@ -21,25 +21,29 @@ from recordloom.sources import records, sinks
 def baseline(spark: SparkSession, test_dir: str, out: str) -> None:
     """Exact matches of the ASCII name or address: reads the three test files, writes the matching file."""
     s1, s2, s3 = (records.load_baseline(spark, f"{test_dir}/test_source{k}.tsv") for k in (1, 2, 3))
-    sinks.write_tsv(sinks.matching_results(s1, block(s1, records.corpus_union(s2, s3), BASELINE)), out)
+    sinks.write_tsv(sinks.matching_results(s1, block(s1, records.corpus_union(s2, s3), BASELINE)), out, single_file=True)
 
 
 def block_files(spark: SparkSession, test_dir: str, out: str, method: str) -> None:
     """The candidate file of any blocker."""
     s1, s2, s3 = (records.load_source(spark, f"{test_dir}/test_source{k}.tsv") for k in (1, 2, 3))
-    sinks.write_tsv(sinks.candidate_pairs(s1, block(s1, records.corpus_union(s2, s3), method)), out)
+    sinks.write_tsv(sinks.candidate_pairs(s1, block(s1, records.corpus_union(s2, s3), method)), out, single_file=True)
 
 
-def benchmark(spark: SparkSession, root: str, method: str, sample_size: int = 10_000, out: str = "experiments/results") -> DataFrame:
+def benchmark(spark: SparkSession, root: str, method: str, sample_size: int = 10_000, out: str = "experiments/results.csv") -> DataFrame:
     """Recall and sizes of a blocker's candidates for the first training records; appends a row to the log.
 
-    The prepared corpus is cached and counted first, which stands for building an index.
+    The corpus is cached and counted as read, which is loading, and as prepared, which
+    stands for building an index.
     """
     paths = records.dataset_paths(root)
     blocker = get_blocker(method)
     s1 = records.sample_s1(records.load_source(spark, paths["source1"]), sample_size)
     truth = records.truth_of_sample(records.load_ground_truth(spark, paths["ground_truth"]), s1)
-    corpus = prepare(records.corpus_union(records.load_source(spark, paths["source2"]), records.load_source(spark, paths["source3"]))).cache()
+    loading = time.time()
+    loaded = records.corpus_union(records.load_source(spark, paths["source2"]), records.load_source(spark, paths["source3"])).cache()
+    loaded.count()
+    corpus = prepare(loaded).cache()
     began = time.time()
     corpus.count()
     indexed = time.time()
@@ -56,8 +60,9 @@ def benchmark(spark: SparkSession, root: str, method: str, sample_size: int = 10
     )
     sinks.append_bench_log(row, out)
     sinks.show_metrics(row)
-    print(f"queries_per_second: {sample_size / max(queried - indexed, 1e-9):.1f}, pairs: {n}")
+    print(f"load_time: {began - loading:.2f}, queries_per_second: {s1.count() / max(queried - indexed, 1e-9):.1f}, pairs: {n}")
     corpus.unpersist()
+    loaded.unpersist()
     pairs.unpersist()
     return row
 
@@ -86,7 +91,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--root", default="dataset")
     p.add_argument("--method", required=True, choices=list(BLOCKERS))
     p.add_argument("--sample-size", type=int, default=10_000)
-    p.add_argument("--out", default="experiments/results")
+    p.add_argument("--out", default="experiments/results.csv")
     p = sub.add_parser("validate")
     p.add_argument("--matching", "-m", default="output/matching_results.tsv")
     p.add_argument("--candidate", "-c", default="output/candidate_pairs.tsv")

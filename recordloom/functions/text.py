@@ -74,7 +74,7 @@ def _trim(c: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
-    return values.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFKC", x))
+    return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def clean_string(c: Column) -> Column:
@@ -87,7 +87,12 @@ def nfkc(c: Column, unicode: str = "nfkc") -> Column:
     """Unicode compatibility normalization; diacritics stay."""
     if unicode not in ("nfkc", "none"):
         raise ValueError(f"unicode: {unicode}")
-    return _nfkc(c) if unicode == "nfkc" else c
+    return _normal(c) if unicode == "nfkc" else c
+
+
+def _normal(c: Column) -> Column:
+    """Only texts beyond ASCII cross to Python."""
+    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
 def _plain(normal: Column) -> Column:
@@ -180,7 +185,7 @@ def prepare(records: DataFrame, unicode: str = "nfkc") -> DataFrame:
     )
     if unicode == "nfkc":
         # both calls share one Arrow exchange; one whose column nobody reads is pruned
-        cleaned = cleaned.withColumns({"n": _nfkc("n"), "a": _nfkc("a")})
+        cleaned = cleaned.withColumns({"n": _normal(F.col("n")), "a": _normal(F.col("a"))})
     plain = cleaned.withColumns({"n": _plain(F.col("n")), "a": _plain(F.col("a"))})
     return plain.select(
         "entity_id",

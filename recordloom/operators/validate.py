@@ -1,7 +1,7 @@
 """Checks of result files, as findings tables: (severity, check, n, examples).
 
 Every check is a plan over id lists (``sources.idlists.id_lists``: at,
-source1_entity_id, ids, malformed); only its few examples reach the driver.
+source1_entity_id, ids, malformed, line); only its few examples reach the driver.
 """
 
 from __future__ import annotations
@@ -76,8 +76,8 @@ def not_in_candidates(matches: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def malformed_lines(lists: DataFrame) -> DataFrame:
-    """The lines themselves; each is an error of its own, so repeated ones count."""
-    return lists.where("malformed").select(F.col("source1_entity_id").alias("offender"))
+    """The lines with their numbers; each is an error of its own, so repeated ones count."""
+    return lists.where("malformed").select(F.concat(F.lit("line "), F.lpad("line", 6, " "), F.lit(": "), F.col("source1_entity_id")).alias("offender"))
 
 
 def summarize(offenders: dict[str, DataFrame], severity: str = ERROR) -> DataFrame:
@@ -132,11 +132,15 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _has_mark(spark: SparkSession, path: str) -> bool:
     """Whether the file begins with a byte-order mark, which line readers drop."""
     files, p = _path(spark, path)
-    stream = files.open(p)
-    try:
-        return [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]
-    finally:
-        stream.close()
+    parts = [f.getPath() for f in files.listStatus(p) if f.isFile() and f.getPath().getName()[0] not in "._"]
+    for part in parts:  # one, or those of a folder
+        stream = files.open(part)
+        try:
+            if [stream.read() for _ in range(3)] == [0xEF, 0xBB, 0xBF]:
+                return True
+        finally:
+            stream.close()
+    return False
 
 
 def _not_utf8(spark: SparkSession, path: str) -> bool:

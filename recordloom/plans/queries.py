@@ -237,8 +237,9 @@ def feature_indel_ratio(spark: SparkSession, d: str) -> DataFrame:
 def feature_tfidf_cosine(spark: SparkSession, d: str) -> DataFrame:
     s1, corpus = text.prepare(fx.s1(spark, d)), text.prepare(fx.corpus(spark, d))
     pairs = blocking.get_blocker("hybrid").candidates(s1, corpus)
-    vectors = features.tfidf_vectors(s1.unionByName(corpus), "entity_id", "name_tokens")
-    return features.tfidf_cosine(pairs, vectors, vectors).withColumn("tfidf_cosine", _r("tfidf_cosine"))
+    every = s1.unionByName(corpus)
+    left, right = (features.tfidf_vectors(every, "entity_id", "name_tokens", pairs.select(F.col(c).alias("id"))) for c in ("source1_entity_id", "entity_id"))
+    return features.tfidf_cosine(pairs, left, right).withColumn("tfidf_cosine", _r("tfidf_cosine"))
 
 
 @query
@@ -258,10 +259,9 @@ def feature_same_country(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Matches of a fitted classifier: candidates whose score reaches one half."""
-    s1, corpus = fx.s1(spark, d), fx.corpus(spark, d)
-    featured = matching.labelled(matching.pair_features(candidates(spark, d, "hybrid"), s1, corpus), ground_truth_pairs(spark, d))
-    return matching.matches(matching.score_pairs(matching.fit_matcher(featured), featured), 0.5)
+    """Matches of held-out records by a classifier and a threshold that the other records gave."""
+    s1, corpus, truth = records.holdout(fx.s1(spark, d)), fx.corpus(spark, d), ground_truth_pairs(spark, d)
+    return matching.match_holdout(s1, corpus, candidates(spark, d, "hybrid"), truth, THRESHOLDS)
 
 
 # --- validation -------------------------------------------------------------
@@ -270,7 +270,7 @@ def matched_pairs(spark: SparkSession, d: str) -> DataFrame:
 def _damaged(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.damaged(sinks.matching_results(fx.s1(spark, d), ground_truth_pairs(spark, d)))
     ids = F.when(F.trim("matched_entity_ids") != "", F.split("matched_entity_ids", ",")).otherwise(F.array().cast("array<string>"))
-    return rows.select(F.monotonically_increasing_id().alias("at"), "source1_entity_id", ids.alias("ids"), F.lit(False).alias("malformed"))
+    return rows.select(F.monotonically_increasing_id().alias("at"), "source1_entity_id", ids.alias("ids"), F.lit(False).alias("malformed"), F.lit(0).alias("line"))
 
 
 def _required(spark: SparkSession, d: str) -> DataFrame:

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _BLANK = r"^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(at, value): lines and their order, CR LF and CR read as LF; the first line is the header."""
+    """(at, file, value): lines and their order, CR LF and CR read as LF; the first line of each file is its header.
+
+    ``path`` is a file or a folder of part files.
+    """
     text = spark.read.option("lineSep", "\n").text(path)
-    parts = text.select(F.monotonically_increasing_id().alias("at"), F.posexplode(F.split(F.regexp_replace("value", "\r$", ""), "\r")).alias("k", "value"))
-    return parts.select(F.struct("at", "k").alias("at"), "value")
+    parts = text.select(
+        F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", "\r$", ""), "\r")).alias("k", "value")
+    )
+    return parts.select(F.struct("at", "k").alias("at"), "file", "value")
 
 
 def header(spark: SparkSession, path: str) -> str | None:
@@ -22,9 +28,18 @@ def header(spark: SparkSession, path: str) -> str | None:
 
 
 def body(spark: SparkSession, path: str) -> DataFrame:
-    """All lines but the first."""
-    every = lines(spark, path)
-    return every.join(F.broadcast(every.agg(F.min("at").alias("first"))), F.col("at") != F.col("first")).drop("first")  # one row
+    """(at, value, line): all lines but each file's first, with their number in the file, the header's being 1.
+
+    Numbers come from the number of lines of the file's earlier splits, so lines are not moved.
+    """
+    every = lines(spark, path).withColumn("split", F.shiftrightunsigned("at.at", 33))
+    splits = every.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("from"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("file", "split", F.coalesce(before, F.lit(0)).alias("before"), F.min("from").over(W.partitionBy("file")).alias("first"))
+    numbered = every.join(splits, ["file", "split"]).where(F.col("at") != F.col("first"))
+    # a split's lines are numbered by their place, which carriage returns alone can move on
+    place = F.col("at.at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("at.k") + 1
+    return numbered.select("at", "value", (F.col("before") + place).alias("line"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +57,7 @@ def match_targets(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def id_lists(rows: DataFrame) -> DataFrame:
-    """(at, source1_entity_id, ids, malformed) of the lines of ``rows`` (at, value); a line without a tab is malformed and its own key.
+    """(at, source1_entity_id, ids, malformed, line) of the lines of ``rows`` (at, value, line); a line without a tab is malformed and its own key.
 
     A line is cut at its first tab and its list at commas; neither ids nor keys are
     trimmed, and a list of blanks only is empty. Blank lines without a tab are skipped.
@@ -56,4 +71,5 @@ def id_lists(rows: DataFrame) -> DataFrame:
         F.when(tab > 0, F.substring(F.col("value"), F.lit(1), tab - 1)).otherwise(F.col("value")).alias("source1_entity_id"),
         F.when(tab > 0, ids).alias("ids"),
         (tab == 0).alias("malformed"),
+        "line",
     )

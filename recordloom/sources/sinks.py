@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,17 +26,70 @@ def candidate_pairs(s1: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def write_tsv(rows: DataFrame, path: str, single_file: bool = False, order_by: str | None = "source1_entity_id") -> None:
-    """Tab-separated with header, empty cells empty. Sorted by range over many files, or one file where asked."""
-    if order_by:
-        rows = rows.orderBy(order_by)
-    if single_file:
-        rows = rows.coalesce(1)
-    rows.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", escape='"')
+    """Tab-separated with header, empty cells empty, sorted: many files with a header each, or one file at ``path``.
+
+    For one file the parts are written in parallel without headers and then copied
+    behind one another as streams; ``path`` appears complete or not at all.
+    """
+    ordered = rows.orderBy(order_by) if order_by else rows
+    if not single_file:
+        ordered.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", escape='"')
+        return
+    spark = rows.sparkSession
+    parts = f"{path}-parts-{uuid.uuid4().hex}"
+    ordered.write.csv(parts, sep="\t", header=False, emptyValue="", escape='"')
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(parts)
+    files = folder.getFileSystem(conf)
+    try:
+        whole = jvm.org.apache.hadoop.fs.Path(f"{parts}/_whole")
+        out = _create(files, whole)
+        out.write(("\t".join(rows.columns) + "\n").encode())
+        for name in sorted(f.getPath().getName() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-")):
+            stream = files.open(jvm.org.apache.hadoop.fs.Path(f"{parts}/{name}"))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+            stream.close()
+        out.close()
+        _put_in_place(files, whole, jvm.org.apache.hadoop.fs.Path(path))
+    finally:
+        files.delete(folder, True)
+
+
+def _create(files, path):
+    """A stream to a new file; without a checksum beside it, so that other programs may edit the file."""
+    files.setWriteChecksum(False)
+    try:
+        return files.create(path, True)
+    finally:
+        files.setWriteChecksum(True)
+
+
+def _put_in_place(files, new, path) -> None:
+    files.mkdirs(path.makeQualified(files.getUri(), files.getWorkingDirectory()).getParent())
+    files.delete(path, True)
+    if not files.rename(new, path):
+        raise OSError(f"{new} could not be renamed to {path}")
 
 
 def append_bench_log(row: DataFrame, path: str) -> None:
-    """One more row of a comma-separated log; each part file has its header."""
-    row.coalesce(1).write.mode("append").csv(path, header=True)
+    """One more line of a comma-separated file, which has its header once."""
+    spark = row.sparkSession
+    jvm = spark._jvm
+    log = jvm.org.apache.hadoop.fs.Path(path)
+    files = log.getFileSystem(spark._jsc.hadoopConfiguration())
+    text = io.StringIO()
+    if files.exists(log):
+        stream = files.open(log)
+        text.write(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+    else:
+        csv.writer(text, lineterminator="\n").writerow(row.columns)
+    csv.writer(text, lineterminator="\n").writerows(row.collect())
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = _create(files, new)
+    out.write(text.getvalue().encode())
+    out.close()
+    _put_in_place(files, new, log)
 
 
 def show_metrics(row: DataFrame) -> None:

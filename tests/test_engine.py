@@ -5,14 +5,13 @@ import os
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from recordloom import cli
 from recordloom.operators import blocking, matching
 from recordloom.plans import fixtures as fx
 from recordloom.plans.oracles import ORACLES
 from recordloom.plans.queries import QUERIES
-from recordloom.sources import records
+from recordloom.sources import records, sinks
 from recordloom.streaming import incremental
 
 
@@ -81,17 +80,34 @@ def test_commands(spark, tables, tmp_path, capsys):
             df.toPandas().to_csv(tmp_path / split / f"{split}_source{k}.tsv", sep="\t", index=False)
     fx.truth(spark, tables).toPandas().to_csv(tmp_path / "train/train_ground_truth.tsv", sep="\t", index=False)
     test, m, c = str(tmp_path / "test"), str(tmp_path / "m.tsv"), str(tmp_path / "c.tsv")
-    assert cli.main(["baseline", "-t", test, "--out", str(tmp_path / "mm")]) == 0
-    assert cli.main(["block", "-t", test, "--out", str(tmp_path / "cc"), "--method", "hybrid"]) == 0
-    for folder, out, column in (("mm", m, "matched_entity_ids"), ("cc", c, "candidate_entity_ids")):
-        parts = sorted((tmp_path / folder).glob("part-*"))
-        body = [line for p in parts for line in p.read_text().splitlines()[1:]]
-        assert len(body) == fx.s1(spark, tables).count()
-        with open(out, "w") as f:
-            f.write(f"source1_entity_id\t{column}\n" + "\n".join(body) + "\n")
+    assert cli.main(["baseline", "-t", test, "--out", m]) == 0
+    assert cli.main(["block", "-t", test, "--out", c, "--method", "hybrid"]) == 0
+    assert len((tmp_path / "m.tsv").read_text().splitlines()) == fx.s1(spark, tables).count() + 1
     assert cli.main(["validate", "-m", m, "-c", c, "-t", test, "--check-ids"]) == 0
     assert "passed" in capsys.readouterr().out
-    row = cli.benchmark(spark, str(tmp_path), "exact_name", 1000, str(tmp_path / "log")).first()
+    # a folder of part files, each with its header, says the same
+    sinks.write_tsv(spark.read.csv(m, sep="\t", header=True).na.fill("").repartition(3), str(tmp_path / "parts"))
+    assert cli.main(["validate", "-m", str(tmp_path / "parts"), "-c", c, "-t", test, "--check-ids"]) == 0
+    with open(m, "a") as f:
+        f.write("S1-1 without a tab\n")
+    assert cli.main(["validate", "-m", m, "-c", c, "-t", test]) == 1
+    assert f"line {fx.s1(spark, tables).count() + 2:6}: S1-1 without a tab" in capsys.readouterr().out
+    log = tmp_path / "logs" / "results.csv"
+    row = cli.benchmark(spark, str(tmp_path), "exact_name", 1000, str(log)).first()
     assert row.candidate_recall == pytest.approx(0.5625)
-    cli.benchmark(spark, str(tmp_path), "hybrid", 1000, str(tmp_path / "log"))
-    assert spark.read.csv(str(tmp_path / "log"), header=True).select(F.col("method")).count() == 2
+    cli.benchmark(spark, str(tmp_path), "hybrid", 1000, str(log))
+    header, *rows = log.read_text().splitlines()
+    assert header.startswith("method,sample_size,candidate_recall,avg_candidates") and [r.split(",")[0] for r in rows] == ["exact_name", "hybrid"]
+    assert "load_time" in capsys.readouterr().out
+
+
+def test_matches_of_held_out_records(spark, tables):
+    s1 = records.holdout(fx.s1(spark, tables), 0.3)
+    pairs = blocking.block(s1, fx.corpus(spark, tables), "hybrid")
+    truth = records.truth_pairs(fx.truth(spark, tables))
+    got = matching.match_holdout(s1, fx.corpus(spark, tables), pairs, truth, [0.2, 0.5, 0.8])
+    held = {r.entity_id for r in s1.where("is_holdout").collect()}
+    rows = {tuple(r) for r in got.collect()}
+    right = {tuple(r) for r in truth.collect()}
+    assert rows and {a for a, _ in rows} <= held and rows <= {tuple(r) for r in pairs.collect()}
+    assert len(rows & right) / len(rows) > 0.9

@@ -34,8 +34,9 @@ def test_write_and_read_results(spark, tmp_path):
     pairs = spark.createDataFrame([("S1-1", "S3-1"), ("S1-1", "S2-9"), ("S1-1", "S2-9")], "source1_entity_id string, entity_id string")
     out = str(tmp_path / "m")
     sinks.write_tsv(sinks.matching_results(s1, pairs), out, single_file=True)
-    (part,) = (tmp_path / "m").glob("part-*")
-    assert part.read_text() == "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-9,S3-1\nS1-2\t\n"
+    assert (tmp_path / "m").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-9,S3-1\nS1-2\t\n"
+    sinks.write_tsv(sinks.matching_results(s1, pairs), out, single_file=True)  # in the earlier one's place
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["m"]
     assert sinks.candidate_pairs(s1, pairs).columns == ["source1_entity_id", "candidate_entity_ids"]
 
 
@@ -43,3 +44,17 @@ def test_id_scan(spark, tmp_path):
     p = tmp_path / "s.tsv"
     p.write_text("entity_id\tx\r\n S1-1 \ty\r\n\r\nS1-2\nS1-1\t\n")
     assert {r.id for r in idlists.read_ids(spark, str(p)).collect()} == {"S1-1", "S1-2"}
+
+
+def test_files_without_quoted_feeds_are_split(spark, tmp_path):
+    p = tmp_path / "big.tsv"
+    p.write_text(HEAD + "".join(f'S1-{i}\t"name ""{i}"""\tstreet {i}\tUS\r\n' for i in range(4000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = records.load_source(spark, str(p))
+        assert rows.rdd.getNumPartitions() > 3 and rows.count() == 4000
+        assert rows.where("entity_id = 'S1-77'").first().asDict() == {"entity_id": "S1-77", "business_name": 'name "77"', "business_address": "street 77", "country": "US"}
+        found = idlists.id_lists(idlists.body(spark, str(p)))
+        assert {(r.source1_entity_id, r.line) for r in found.collect()} == {(f"S1-{i}", i + 2) for i in range(4000)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

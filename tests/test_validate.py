@@ -40,7 +40,7 @@ def test_fatal(spark, folder, body, check):
 @pytest.mark.parametrize(
     ("rows", "check", "examples"),
     [
-        ("S1-1\t\nS1-2\t\nbroken\n\n  \n", "line without a tab", ["broken"]),
+        ("S1-1\t\nS1-2\t\nbroken\n\n  \n", "line without a tab", ["line      4: broken"]),
         ("S1-1\t\nS1-1\tS2-1\nS1-2\t\n", "source-1 row repeated", ["S1-1"]),
         ("S1-1\tS2-1,S2-1\nS1-2\t\n", "id repeated in a list", ["S1-1"]),
         ("S1-1\tS1-2\nS1-2\t\n", "source-1 id in a list", ["S1-2"]),
