@@ -192,6 +192,7 @@ ORACLES: dict[str, str] = {
     "ground_truth_pairs": _with("SELECT * FROM pairs", _PREPARED[2]),
     "sample_s1": _with(f"SELECT * FROM s1 ORDER BY entity_id LIMIT {SAMPLE}"),
     "ground_truth_sample": _with(f"SELECT * FROM pairs WHERE source1_entity_id IN (SELECT entity_id FROM s1 ORDER BY entity_id LIMIT {SAMPLE})", _PREPARED[2]),
+    "holdout_split": _with("SELECT entity_id, CAST('0x' || substring(md5(entity_id), 1, 7) AS BIGINT) % 10000 < 1000 AS is_holdout FROM s1"),
     "count_rows": _with("SELECT (SELECT count(*) FROM s2) + (SELECT count(*) FROM s3) AS rows"),
     "block_exact_name": _with(_key_join("name_key"), *_PREPARED),
     "stream_exact_name": _with(_key_join("name_key"), *_PREPARED),
