@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from recordloom.llm.common import Known, pieces, texts
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES, LIBRARY_TEXTS = 1 << 20, 2000
 #: Texts of these characters are split here; others by the library's own engine,
 #: so that two Unicode versions never meet.
 COMMON = regex.compile(r"[\t\n\r\x20-\x7e¡-ɏ]*")
@@ -76,7 +76,11 @@ class ByteBpe:
         self.known = Known()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids by the library, some texts at a time, since what it returns is far larger than ids."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), LIBRARY_TEXTS):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + LIBRARY_TEXTS], add_special_tokens=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

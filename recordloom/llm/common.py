@@ -18,6 +18,8 @@ from recordloom.session import new_folder, release
 
 #: Strings whose ids a worker keeps, beside those of the batch at hand; longer ones are not kept.
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 40
+#: Bytes of a column after which a worker returns free memory.
+GIVE_BACK_BYTES = 8 << 20
 
 
 class Known[K: (str, bytes)](dict[K, bytes]):
@@ -76,15 +78,20 @@ def partitions(spark: SparkSession) -> int:
 def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int, rows: int = 1 << 31) -> Iterator[pa.RecordBatch]:
     """Cut batches so that ``column`` holds at most ``limit`` bytes in each and at most ``rows`` rows, one row at least.
 
-    Workers outlive tasks, so when the batches are done memory not in use is given back.
+    Free memory is given back to the system now and then and when the batches are
+    done: workers outlive tasks, and a machine has many of them.
     """
+    used = 0
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at, before = 0, 0
         while at < batch.num_rows:
             to = min(max(at + 1, int(np.searchsorted(ends, before + limit, "right"))), at + rows, batch.num_rows)
             yield batch.slice(at, to - at)
-            at, before = to, int(ends[to - 1])
+            at, before, used = to, int(ends[to - 1]), used + int(ends[to - 1]) - before
+            if used >= GIVE_BACK_BYTES:
+                give_back()
+                used = 0
     give_back()
 
 
