@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordloom.llm.common import Known, pieces, texts
+from recordloom.llm.common import Known, one_thread, pieces, texts
 
 BATCH_BYTES, LIBRARY_TEXTS = 1 << 20, 2000
 #: Texts of these characters are split here; others by the library's own engine,
@@ -54,6 +54,7 @@ class ByteBpe:
     def __init__(self, ranks_path: str, pattern: str) -> None:
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
+        one_thread()
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         chars = byte_alphabet()

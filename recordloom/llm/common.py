@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Iterable, Iterator
 from itertools import filterfalse, islice
 from weakref import WeakKeyDictionary
@@ -103,6 +104,11 @@ def give_back() -> None:
         trim(0)
 
 
+def one_thread() -> None:
+    """Keep the tokenizers library to one thread, unless the process says otherwise: a worker has one core."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
 def hex_of(value: Column, digits: int) -> Column:
     """Lower-case hex of a long's bits, padded to ``digits``."""
     return F.lpad(F.lower(F.hex(value)), digits, "0")
