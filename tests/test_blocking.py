@@ -1,3 +1,5 @@
+import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -73,6 +75,33 @@ def test_token_blocking_by_its_rules(spark, tables, tokens, min_overlap, max_df,
     assert pairs(own.candidates(s1, corpus)) == by_rules(s1.collect(), corpus.collect(), tokens, min_overlap, max_df, use_country)
 
 
+@pytest.fixture
+def small_cells(monkeypatch):
+    """Many parts, blocks, salts and slices, and vectors beside lists, on a few records."""
+    for name, value in (("PARTS", 3), ("PART_ROWS", 4), ("BLOCK_ROWS", 7), ("SLICE", 2), ("BATCH_IDS", 5), ("TASKS", 5), ("DENSE", 2)):
+        monkeypatch.setattr(f"recordloom.operators.overlap.{name}", value)
+
+
+def noisy(spark, ids, seed):
+    """Records of a few tokens; ids stand on several rows, also of other countries, and one is null."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["US", "India"]), sorted(rng.sample("ab bc cd de ef fg gh hi ij jk".split(), rng.randrange(6)))) for i in ids]
+    return spark.createDataFrame(rows, "entity_id string, country string, address_tokens array<string>")
+
+
+def no_row_for_a_shared_token(blocked):
+    """Whether pairs leave the plan without being summed up over their tokens in a shuffle."""
+    return not re.search(r"keys=\[source1_entity_id#\d+, entity_id#\d+\]", blocked._jdf.queryExecution().executedPlan().toString())
+
+
+def test_token_address_in_many_cells(spark, small_cells):
+    s1, corpus = noisy(spark, [None, *(f"S1-{k}" for k in range(40))], 1), noisy(spark, [None, *(f"S2-{k % 50}" for k in range(60))], 2)
+    own = b.TokenBlocker("address_tokens", 2, True, 8)
+    found = own.candidates(s1, corpus)
+    assert no_row_for_a_shared_token(found)
+    assert sorted(found.collect(), key=str) == sorted(by_rules(s1.collect(), corpus.collect(), "address_tokens", 2, 8), key=str)
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
