@@ -102,6 +102,14 @@ def test_token_address_in_many_cells(spark, small_cells):
     assert sorted(found.collect(), key=str) == sorted(by_rules(s1.collect(), corpus.collect(), "address_tokens", 2, 8), key=str)
 
 
+def test_token_global_counts_each_row_of_an_id(spark, small_cells):
+    """Without countries the rows of an id in several countries are one record."""
+    s1, corpus = noisy(spark, [f"S1-{k}" for k in range(30)], 3), noisy(spark, [f"S2-{k % 40}" for k in range(60)], 4)
+    found = b.TokenBlocker("address_tokens", 2, False).candidates(s1, corpus)
+    assert no_row_for_a_shared_token(found)
+    assert sorted(found.collect()) == sorted(by_rules(s1.collect(), corpus.collect(), "address_tokens", 2, b.MAX_DF, False))
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
