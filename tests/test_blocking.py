@@ -110,6 +110,14 @@ def test_token_global_counts_each_row_of_an_id(spark, small_cells):
     assert sorted(found.collect()) == sorted(by_rules(s1.collect(), corpus.collect(), "address_tokens", 2, b.MAX_DF, False))
 
 
+def test_token_name_of_one_name(spark, small_cells):
+    """One group of equal names, which stands in several parts and blocks, gives each pair once."""
+    s1, corpus = (frame(spark, [(f"{side}-{k}", "Acme Tools Inc", "", "US") for k in range(30)]) for side in ("S1", "S2"))
+    found = b.block(s1, corpus, "token_name")
+    assert no_row_for_a_shared_token(found)
+    assert sorted(found.collect()) == sorted((f"S1-{i}", f"S2-{k}") for i in range(30) for k in range(30))
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
