@@ -118,6 +118,14 @@ def test_token_name_of_one_name(spark, small_cells):
     assert sorted(found.collect()) == sorted((f"S1-{i}", f"S2-{k}") for i in range(30) for k in range(30))
 
 
+def test_token_name_bounded_falls_back_in_many_cells(spark, small_cells):
+    """All but a few tokens are over the bound, so most queries have only their rarest one."""
+    s1, corpus = noisy(spark, [f"S1-{k}" for k in range(30)], 5), noisy(spark, [f"S2-{k % 50}" for k in range(60)], 6)
+    found = b.TokenBlocker("address_tokens", 3, True, 12).candidates(s1, corpus)
+    assert no_row_for_a_shared_token(found)
+    assert sorted(found.collect()) == sorted(by_rules(s1.collect(), corpus.collect(), "address_tokens", 3, 12))
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
