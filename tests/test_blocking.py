@@ -2,10 +2,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from recordloom.functions.text import prepare
 from recordloom.operators import blocking as b
+from recordloom.operators import overlap
 from recordloom.plans import fixtures as fx
 
 SCHEMA = "entity_id string, business_name string, business_address string, country string"
@@ -126,6 +128,23 @@ def test_token_name_bounded_falls_back_in_many_cells(spark, small_cells):
     assert sorted(found.collect()) == sorted(by_rules(s1.collect(), corpus.collect(), "address_tokens", 3, 12))
 
 
+def counted(n_queries, rows, min_overlap=1):
+    """What a cell of one token gives for so many records, in the order of its lists."""
+    lists = pa.list_(pa.string())
+    held = pa.record_batch({"tokens": pa.array([["ab", f"own{k}"] for k in range(rows)], lists), "entities": pa.array([[f"S2-{k}"] for k in range(rows)], lists)})
+    asked = pa.record_batch({"tokens": pa.array([["ab"]] * n_queries, lists), "sources": pa.array([[f"S1-{k}"] for k in range(n_queries)], lists)})
+    found = overlap._Index([held]).matches(asked, min_overlap)
+    return [(s, e) for batch in found for s, e in zip(batch.column("sources").to_pylist(), batch.column("entities").to_pylist(), strict=True)]
+
+
+def test_token_name_pairs_leave_by_stretches_of_records():
+    """The ids of a stretch come for one query after the other, before those of the next stretch do; each pair comes once."""
+    found = counted(20, 3000)
+    assert max(len(e) for _, e in found) <= 256
+    assert [s for s, _ in found[:20]] == [[f"S1-{k}"] for k in range(20)] and len({tuple(e) for _, e in found[:20]}) == 1
+    assert sorted((s[0], e) for s, ids in found for e in ids) == sorted((f"S1-{i}", f"S2-{k}") for i in range(20) for k in range(3000))
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
