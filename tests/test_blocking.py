@@ -145,6 +145,15 @@ def test_token_name_pairs_leave_by_stretches_of_records():
     assert sorted((s[0], e) for s, ids in found for e in ids) == sorted((f"S1-{i}", f"S2-{k}") for i in range(20) for k in range(3000))
 
 
+def test_token_global_writes_little_for_queries_of_the_same_records(spark, tmp_path):
+    """25 different queries share two tokens with each of 40,000 records of two countries."""
+    of = lambda side, n: spark.range(n).selectExpr(f"concat('{side}-', id) AS entity_id", "if(id % 2 = 0, 'us', 'india') AS country", "array('aa', 'bb', concat('c', id % 25)) AS name_tokens")
+    b.TokenBlocker(use_country=False).candidates(of("S1", 25), of("S2", 40_000)).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.count() == found.distinct().count() == 25 * 40_000
+    assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 1_500_000
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
