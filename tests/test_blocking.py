@@ -145,6 +145,13 @@ def test_token_name_pairs_leave_by_stretches_of_records():
     assert sorted((s[0], e) for s, ids in found for e in ids) == sorted((f"S1-{i}", f"S2-{k}") for i in range(20) for k in range(3000))
 
 
+def test_token_name_bounded_fallback_leaves_by_stretches():
+    """One valid token under an overlap of three: each record that has it, in short lists."""
+    found = counted(5, 2000, 3)
+    assert max(len(e) for _, e in found) <= 256
+    assert sorted((s[0], e) for s, ids in found for e in ids) == sorted((f"S1-{i}", f"S2-{k}") for i in range(5) for k in range(2000))
+
+
 def test_token_global_writes_little_for_queries_of_the_same_records(spark, tmp_path):
     """25 different queries share two tokens with each of 40,000 records of two countries."""
     of = lambda side, n: spark.range(n).selectExpr(f"concat('{side}-', id) AS entity_id", "if(id % 2 = 0, 'us', 'india') AS country", "array('aa', 'bb', concat('c', id % 25)) AS name_tokens")
