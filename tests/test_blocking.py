@@ -3,7 +3,9 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from recordloom.functions.text import prepare
 from recordloom.operators import blocking as b
@@ -161,6 +163,16 @@ def test_token_global_writes_little_for_queries_of_the_same_records(spark, tmp_p
     assert sum(p.stat().st_size for p in tmp_path.glob("pairs/*.parquet")) < 1_500_000
 
 
+def test_token_global_block_stays_in_a_dictionary(spark, tmp_path):
+    """Ids of 100,000 records, more than a column's dictionary takes, are written as places in two dictionaries."""
+    s1, corpus = spark.range(30).selectExpr("concat('S1-', id) AS entity_id", "'' AS country", "array('aa', concat('b', id)) AS name_tokens"), spark.range(100_000).selectExpr("concat('S2-', id) AS entity_id", "'' AS country", "array('aa') AS name_tokens")
+    b.TokenBlocker(min_overlap=1, use_country=False).candidates(s1, corpus).write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    assert found.count() == found.distinct().count() == 30 * 100_000
+    chunks = [pq.read_metadata(p).row_group(0).column(1) for p in tmp_path.glob("pairs/*.parquet") if pq.read_metadata(p).num_rows]
+    assert chunks and all("PLAIN" not in c.encodings for c in chunks)
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
