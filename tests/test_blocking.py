@@ -173,6 +173,17 @@ def test_token_global_block_stays_in_a_dictionary(spark, tmp_path):
     assert chunks and all("PLAIN" not in c.encodings for c in chunks)
 
 
+def test_token_name_bounded_tasks_have_cells_of_a_block(spark, monkeypatch):
+    """Twelve cells in four tasks: each task has those of one of three blocks, so few ids stand in its file."""
+    for name, value in (("PARTS", 4), ("PART_ROWS", 4), ("BLOCK_ROWS", 20), ("TASKS", 4)):
+        monkeypatch.setattr(f"recordloom.operators.overlap.{name}", value)
+    s1, corpus = (spark.range(n).selectExpr(f"concat('{side}-', id) AS entity_id", "'' AS country", "array('aa', concat('b', id)) AS name_tokens") for side, n in (("S1", 40), ("S2", 60)))
+    found = b.TokenBlocker(min_overlap=1, max_df=1).candidates(s1, corpus.withColumn("name_tokens", F.expr("array('aa')")))
+    rows = found.select("*", F.spark_partition_id().alias("task")).collect()
+    assert len({r[:2] for r in rows}) == len(rows) == 40 * 60
+    assert all(len({r.entity_id for r in rows if r.task == t}) < 40 for t in {r.task for r in rows})
+
+
 def test_no_cartesian_product_and_pushed_columns(spark, tables):
     plan = b.block(fx.s1(spark, tables), fx.corpus(spark, tables), "token_name")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
